@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textgate.llm import chat, sharding
+from textgate.llm import bpe, chat, langid, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": sharding.op2_sharding,
         "op4_chat_formatting": chat.op4_chat_formatting,
+        "op5_language_id": langid.op5_language_id,
+        "op8_byte_bpe": bpe.op8_byte_bpe,
     }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textgate.llm import bpe, chat, langid, sharding
+from textgate.llm import bpe, chat, langid, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_language_id": langid.op5_language_id,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textgate.llm import bpe, chat, langid, sharding, toxicity
+from textgate.llm import bpe, chat, langid, sharding, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filters": url_filter.op1_url_filters,
         "op2_sharding": sharding.op2_sharding,
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_language_id": langid.op5_language_id,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textgate.llm import bpe, chat, langid, sharding, toxicity, url_filter
+from textgate.llm import bpe, chat, decontaminate, langid, sharding, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,10 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sharding": sharding.op2_sharding,
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_language_id": langid.op5_language_id,
+        "op7_decontamination": decontaminate.op7_decontamination,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.SQL}
+    return {"op4_chat_formatting": chat.SQL, "op7_decontamination": decontaminate.SQL}

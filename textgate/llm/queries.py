@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textgate.llm import bpe, chat, decontaminate, html_text, langid, sharding, toxicity, url_filter
+from textgate.llm import bpe, chat, decontaminate, html_text, langid, sharding, spotsigs, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_fingerprints": spotsigs.op10_fingerprints,
     }
 
 

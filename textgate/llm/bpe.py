@@ -249,7 +249,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {id_type}, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: encodes each text, decodes its ids, keeps digests of both."""
 
     def digests(codec: ByteBpe, texts: list[str]) -> dict:
@@ -259,9 +259,10 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
             "n_tokens": [len(ids) for ids in encoded],
             "ids_sha256": [hashlib.sha256(" ".join(map(decimals, ids)).encode()).hexdigest() for ids in encoded],
             "decoded_sha256": [hashlib.sha256(codec.decode(ids)).hexdigest() for ids in encoded],
-        }
+        } | ({"ids": encoded} if with_ids else {})
 
-    return _each(docs, ranks, pattern, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _each(docs, ranks, pattern, digests, schema)
 
 
 def default_vocabulary() -> tuple[dict[bytes, int], str]:

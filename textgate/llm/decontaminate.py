@@ -148,6 +148,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without contaminated rows; all columns stay."""
+    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    bad = stored(bad, "contaminated")
+    small = bad.count() <= MAX_BROADCAST
+    keyed = docs.withColumn("_doc_row", F.xxhash64("doc_id", "text"))
+    at = (F.col("_doc_row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return keyed.join(F.broadcast(bad) if small else bad, at, "left_anti").drop("_doc_row")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -190,13 +190,21 @@ def members_of(index: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(a, na, b, nb) of any orientation -> distinct, a < b, sizes within the threshold of each other."""
+def _pairs(rows: DataFrame, weight: int) -> DataFrame:
+    """A row (a, na, b, nb) for each shared prefix token, of any orientation -> distinct pairs (a < b) that can link.
+
+    Sizes must be within the threshold of each other. Of the two prefixes, all shared tokens up to the end of the one that
+    ends first are in both. So the overlap is at most the shared prefix tokens and the larger set's tokens behind its
+    prefix, and must reach 3/7 of the sizes' sum.
+    """
     swap = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    near = 4 * F.least("na", "nb").cast("long") >= 3 * F.greatest("na", "nb").cast("long")
-    rows = rows.filter((F.col("a") != F.col("b")) & near)
-    return rows.select(pick("a", "b").alias("a"), pick("b", "a").alias("b")).distinct()
+    small, large = F.least("na", "nb").cast("long"), F.greatest("na", "nb").cast("long")
+    rows = rows.filter((F.col("a") != F.col("b")) & (4 * small >= 3 * large))
+    ends = rows.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), small.alias("small"), large.alias("large"))
+    shared = ends.groupBy("a", "b", "small", "large").agg(F.count("*").alias("shared"))
+    behind = F.ceil(0.75 * F.col("large")) - 1
+    return shared.filter(7 * (weight * F.col("shared") + behind) >= 3 * (F.col("small") + F.col("large"))).select("a", "b")
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
@@ -204,7 +212,8 @@ def star_pairs(members: DataFrame) -> DataFrame:
     pivots = members.filter("chunk > 0").select("token", F.col("pivot").alias("a"), F.col("pivot_n").alias("na")).distinct()
     head = F.first(F.struct("a", "na")).over(Window.partitionBy("token").orderBy("a"))
     outer = pivots.select("a", "na", head.alias("p")).select("a", "na", F.col("p.a").alias("b"), F.col("p.na").alias("nb"))
-    return _pairs(inner.unionByName(outer))
+    # Each class meets a pivot under one of four permutations. This step may miss pairs: the rest step finds them.
+    return _pairs(inner.unionByName(outer), 4)
 
 
 def rest_pairs(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -219,7 +228,7 @@ def rest_pairs(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     x = rows.select("token", F.col("k").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
     y = rows.select("token", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
     near = (4 * F.least("na", "nb").cast("long")) >= 3 * F.greatest("na", "nb").cast("long")
-    return _pairs(x.join(y, "token").filter((F.col("ca") < F.col("cb")) & near))
+    return _pairs(x.join(y, "token").filter((F.col("ca") < F.col("cb")) & near), 1)
 
 
 def _texts(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -247,11 +256,11 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
             def prefix(k: int, order: int) -> np.ndarray:
                 if (k, order) not in prefixes:
-                    prefixes[k, order] = shingles.in_order(found[k], order)[: prefix_length(len(found[k]))]
+                    prefixes[k, order] = shingles.first_in_order(found[k], order, prefix_length(len(found[k])))
                 return prefixes[k, order]
 
             links = [
-                all(np.intersect1d(prefix(x, o), prefix(y, o), True).size for o in range(1, ORDERS)) and _similar(found[x], found[y])
+                all(_common(prefix(x, o), prefix(y, o)) for o in range(1, ORDERS)) and _similar(found[x], found[y])
                 for x, y in zip(a, b, strict=True)
             ]
             yield batch.select([0, 1]).filter(pa.array(links, pa.bool_()))
@@ -264,8 +273,15 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return stored(joined.mapInArrow(run, "a long, b long"), "shingle-links")
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return int(np.count_nonzero(x[at] == y))
+
+
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
-    shared = np.intersect1d(x, y, True).size
+    shared = _common(x, y)
     return 100 * shared >= 75 * (len(x) + len(y) - shared)
 
 
@@ -317,9 +333,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but the first row (by doc_id, then text hash) of each component; all columns stay."""
     found = stored(near_duplicates(docs), "shingle-found")
     group = F.when(F.col("n_shingles") > 0, F.col("component_id"))
-    least = found.filter("n_shingles > 0").groupBy(group.alias("g")).agg(F.min(F.struct("doc_id", "h")).alias("stays"))
+    rank = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "h")
+    least = found.filter("n_shingles > 0").groupBy(group.alias("g")).agg(F.min(rank).alias("stays"))
     rows = found.filter("n_shingles > 0").groupBy("doc_id", "h", group.alias("g")).agg(F.count("*").alias("rows"))
-    marked = rows.join(least, rows["g"].eqNullSafe(least["g"])).select("doc_id", "h", "rows", (F.struct("doc_id", "h") == F.col("stays")).alias("is_first"))
+    marked = rows.join(least, rows["g"].eqNullSafe(least["g"])).select("doc_id", "h", "rows", (rank == F.col("stays")).alias("is_first"))
     marked = stored(
         marked.filter(~F.coalesce("is_first", F.lit(False)) | (F.col("rows") > 1)).select(
             F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.coalesce("is_first", F.lit(False)).alias("_first")

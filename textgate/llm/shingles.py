@@ -36,7 +36,7 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def sets(texts: list[str | None], part_bytes: int = 1 << 20) -> list[np.ndarray]:
+def sets(texts: list[str | None], part_bytes: int = 1 << 18) -> list[np.ndarray]:
     """For each text its shingle hashes, sorted and distinct (uint64)."""
     out: list[np.ndarray] = []
     part: list[bytes] = []
@@ -70,7 +70,8 @@ def _sets(texts: list[bytes]) -> list[np.ndarray]:
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= WORDS:
-            out.append(np.unique(runs[a : b - WORDS + 1]))
+            found = np.sort(runs[a : b - WORDS + 1])  # np.unique hashes, which is slower here
+            out.append(found[np.concatenate([[True], found[1:] != found[:-1]])])
         elif b > a:
             out.append(mix(np.array([sum(int(w) * int(p) for w, p in zip(words[a:b], _PLACE)) + (b - a) & (1 << 64) - 1], _U)))
         else:
@@ -78,8 +79,7 @@ def _sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def in_order(tokens: np.ndarray, order: int) -> np.ndarray:
-    """The tokens sorted by global order 0 (their hash), 1, 2, ... (hashes of it)."""
-    if order == 0:
-        return tokens
-    return tokens[np.argsort(mix(tokens ^ _U(0xA0761D6478BD642F * order & (1 << 64) - 1)), kind="stable")]
+def first_in_order(tokens: np.ndarray, order: int, n: int) -> np.ndarray:
+    """The first n of sorted, distinct tokens under a hash order (1, 2, ...), themselves sorted by value."""
+    place = mix(tokens ^ _U(0xA0761D6478BD642F * order & (1 << 64) - 1))
+    return tokens[place <= np.partition(place, n - 1)[n - 1]]

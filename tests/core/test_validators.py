@@ -165,7 +165,7 @@ def test_rules_enablement_and_score(spark):
     assert [r["score"] for r in scored(spark, text[:1])] == [97]
     got = scored(spark, text, off, [rule])
     assert (got[0]["score"], [i.deduction for i in got[0]["issues"]]) == (0, [9])
-    assert got[1]["score"] == 92
+    assert got[1]["score"] == 100
     assert got[0]["correction_context"].startswith("[QUALITY FEEDBACK: prior response scored 0/100. Issues: FLOATE: word:landscape.")
     assert [r["score"] for r in scored(spark, text[:1], SPEC, [rule | {"action": "warn"}])] == [91]
 

@@ -155,5 +155,5 @@ def parse_markdown(files: DataFrame) -> DataFrame:
 
 
 def read_markdown(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("wholetext", "true").text(path)
-    return parse_markdown(files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").format("binaryFile").load(path)
+    return parse_markdown(files.select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")))

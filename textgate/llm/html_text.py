@@ -223,7 +223,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
         .filter(~F.col("article") & (F.col("importance") < LEAST_IMPORTANCE) & (F.col("m") >= LEAST_PAGES))
         .select("host", "path", F.lit(None).cast("long").alias("content"))
     )
-    common = counts.join(hosts, "host").filter(F.col("n") >= COMMON_SHARE * F.col("pages")).select("host", "path", "content")
+    # Rarer contents can't be common on a host of LEAST_PAGES pages, so most rows of a large host stay where they are.
+    frequent = counts.filter(F.col("n") >= COMMON_SHARE * LEAST_PAGES)
+    common = frequent.join(hosts, "host").filter(F.col("n") >= COMMON_SHARE * F.col("pages")).select("host", "path", "content")
     # A host has at most (blocks of a page / COMMON_SHARE) common contents, and as many nodes as its pages have paths.
     return (
         elements.join(hosts.select("host"), "host", "left_semi")

@@ -25,12 +25,13 @@ table gives no rows. Only doc_id and text are read, so other columns can't clash
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ MAX_CHUNKS = 4095
 ORDERS = 3
 MAX_BROADCAST = 100_000
 PART_TOKENS = 1 << 21
+PART_BYTES = 4 << 20
+MAX_KNOWN = 200_000
 _U = np.uint64
 
 
@@ -63,15 +66,21 @@ def _key(tokens: np.ndarray) -> int:
         return int(shingles.mix(np.array([shingles.mix(tokens ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U) + _U(len(tokens))]))[0].astype(np.int64))
 
 
-def _text_parts(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _bounded(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries whose sizes sum to little more than most."""
+    sizes = list(sizes)
     start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t or "")
-        if total >= size or i + 1 == len(texts):
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most or i + 1 == len(sizes):
             yield start, i + 1
             start, total = i + 1, 0
 
 
+def _text_parts(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    return _bounded((len(t or "") for t in texts), size)
+
+
 def classed(docs: DataFrame) -> DataFrame:
     """docs -> doc_id, h (text hash), k, n for each row, and rows of block, counts with the sketch of each task; stored."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -160,7 +169,7 @@ def indexed(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     n = len(tokens)
                     if not n or (k := _key(tokens)) in known:
                         continue
-                    if len(known) >= 1_000_000:
+                    if len(known) >= MAX_KNOWN:
                         known.clear()
                     known.add(k)
                     level = shipped.value[_cells(tokens)]
@@ -248,22 +257,27 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = _texts(docs, rows, pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = dict(zip(a, batch.column(2).to_pylist(), strict=True)) | dict(zip(b, batch.column(3).to_pylist(), strict=True))
-            found = dict(zip(texts, shingles.sets(list(texts.values())), strict=True))
-            prefixes: dict[tuple[int, int], np.ndarray] = {}
-
-            def prefix(k: int, order: int) -> np.ndarray:
-                if (k, order) not in prefixes:
-                    prefixes[k, order] = shingles.first_in_order(found[k], order, prefix_length(len(found[k])))
-                return prefixes[k, order]
-
-            links = [
-                all(_common(prefix(x, o), prefix(y, o)) for o in range(1, ORDERS)) and _similar(found[x], found[y])
-                for x, y in zip(a, b, strict=True)
-            ]
-            yield batch.select([0, 1]).filter(pa.array(links, pa.bool_()))
+        for whole in batches:
+            sizes = pc.add(pc.binary_length(whole.column(2)), pc.binary_length(whole.column(3))).to_numpy(zero_copy_only=False)
+            for start, end in _bounded(sizes, PART_BYTES):
+                yield linked(whole.slice(start, end - start))
+
+    def linked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        texts = dict(zip(a, batch.column(2).to_pylist(), strict=True)) | dict(zip(b, batch.column(3).to_pylist(), strict=True))
+        found = dict(zip(texts, shingles.sets(list(texts.values())), strict=True))
+        prefixes: dict[tuple[int, int], np.ndarray] = {}
+
+        def prefix(k: int, order: int) -> np.ndarray:
+            if (k, order) not in prefixes:
+                prefixes[k, order] = shingles.first_in_order(found[k], order, prefix_length(len(found[k])))
+            return prefixes[k, order]
+
+        links = [
+            all(_common(prefix(x, o), prefix(y, o)) for o in range(1, ORDERS)) and _similar(found[x], found[y])
+            for x, y in zip(a, b, strict=True)
+        ]
+        return batch.select([0, 1]).filter(pa.array(links, pa.bool_()))
 
     joined = (
         pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a")

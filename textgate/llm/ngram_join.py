@@ -45,7 +45,7 @@ CHUNK_ROWS = 512
 MAX_CHUNKS = 4095
 ORDERS = 3
 MAX_BROADCAST = 100_000
-PART_TOKENS = 1 << 21
+PART_TOKENS = 1 << 20
 PART_BYTES = 4 << 20
 MAX_KNOWN = 200_000
 _U = np.uint64

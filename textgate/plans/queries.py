@@ -6,8 +6,8 @@ prefix, response suffix), dealt by (conv_id * 5 + turn)."""
 from __future__ import annotations
 
 import datetime
-import json
-import tempfile
+import re
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textgate.functions.classify import classify
+from textgate.llm.common import shared_dir
 from textgate.operators import corrections, validators
 from textgate.operators.exchanges import pair, with_prior
 from textgate.operators.score import RULES, flat_issues, score
@@ -167,16 +168,25 @@ def markdown_parse(spark, sf_dir):
     return parse_markdown(files).select("file", "source", "session_id", "prompt", "response")
 
 
+def _write_transcripts(rows: DataFrame, where: Path) -> None:
+    """All conversations as JSONL files. A file holds whole conversations, each a session of its own; the files in order of
+    their names are in order of the ids as strings."""
+    block = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("s"), "id").alias("sessionId"), F.struct(block.alias("content")).alias("message")))
+    ided = rows.withColumn("id", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))
+    ided.repartitionByRange("id").sortWithinPartitions("id", "turn", "role", "text").select(line.alias("value")).write.text(where.as_uri())
+    for part in where.glob("part-*.txt"):
+        part.rename(part.with_suffix(".jsonl"))
+
+
 def stream_tail_score(spark, sf_dir):
-    """Files written from a hundred conversations, tailed and scored by the stream; returns its log."""
+    """Files written from all conversations, tailed and scored by the stream; returns its log."""
     from textgate.streaming.daemon import Daemon
 
-    where = Path(tempfile.mkdtemp(prefix="textgate-stream-"))
-    rows = conversations(spark, sf_dir).filter("conv_id <= 100").orderBy("conv_id", "turn").collect()
-    (where / "in").mkdir()
-    for r in rows:
-        with open(where / "in" / f"{r.conv_id}.jsonl", "a", encoding="utf-8") as f:
-            f.write(json.dumps({"type": r.role, "sessionId": f"s{r.conv_id}", "message": {"content": [{"type": "text", "text": r.text}]}}) + "\n")
+    # The tail reads files by their local path, so the shared folder has to be mounted alike everywhere.
+    where = Path(re.sub("^file:/*", "/", shared_dir(spark))) / "textgate" / f"stream-{uuid.uuid4().hex}"
+    (where / "log").mkdir(parents=True)
+    _write_transcripts(conversations(spark, sf_dir), where / "in")
     spec = with_changes(
         SPEC,
         {

@@ -10,8 +10,8 @@ says something else, 0 where all say the same. A content node is a content at a
 host's pages that carry it. From each page are removed:
 
 * boilerplate branches, by role;
-* on hosts of at least LEAST_PAGES pages, element nodes of importance under LEAST_IMPORTANCE that aren't in an article,
-  and contents that at least COMMON_SHARE of the host's pages carry.
+* on hosts of at least LEAST_PAGES pages, of the blocks that aren't in an article: element nodes of importance under
+  LEAST_IMPORTANCE, and contents that at least COMMON_SHARE of the host's pages carry.
 
 If a page has an article, only its blocks remain. If the tree would remove all that roles left, it removes nothing from
 that page. The tree's low nodes are a table with a row for each host; it is broadcast while it has at most MAX_HOSTS
@@ -224,7 +224,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
         .select("host", "path", F.lit(None).cast("long").alias("content"))
     )
     # Rarer contents can't be common on a host of LEAST_PAGES pages, so most rows of a large host stay where they are.
-    frequent = counts.filter(F.col("n") >= COMMON_SHARE * LEAST_PAGES)
+    # What many pages say in their articles is kept: they may be near copies of one article.
+    frequent = counts.filter(~F.col("article") & (F.col("n") >= COMMON_SHARE * LEAST_PAGES))
     common = frequent.join(hosts, "host").filter(F.col("n") >= COMMON_SHARE * F.col("pages")).select("host", "path", "content")
     # A host has at most (blocks of a page / COMMON_SHARE) common contents, and as many nodes as its pages have paths.
     return (
@@ -251,7 +252,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 left = found
                 if low is not None and len(low):
                     gone = {(x["path"], x["content"]) for x in low}
-                    left = [x for x in found if (x[0], None) not in gone and (x[0], _content(x[1])) not in gone] or found
+                    left = [x for x in found if x[2] or ((x[0], None) not in gone and (x[0], _content(x[1])) not in gone)] or found
                 out.append((page_id, url, " ".join(t for _, t, _ in left), len(found), len(found) - len(left)))
             yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_blocks", "n_removed"])
 

@@ -50,7 +50,9 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:
 LETTERS = re.compile(r"[a-z]+")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea svg math object canvas select title xmp noembed noframes".split())
+RAW = set("script style noscript template iframe textarea svg object canvas select title xmp noembed noframes annotation annotation-xml".split())
+# Unclosed, these run to the end of the page; other raw elements end with their parent.
+RAW_TO_END = set("script style textarea title".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split()
 )
@@ -70,12 +72,15 @@ BOILERPLATE_WORDS = set(
 )
 STAYS_SHUT = set("comment comments commentlist disqus replies related recommended sidebar aside".split())
 
-OPEN, ARTICLE, SHUT, SHUT_FOR_GOOD = range(4)
+# SHUT ends at an article or main, SHUT_BY_WORD at a main, SHUT_FOR_GOOD with its element.
+OPEN, ARTICLE, SHUT, SHUT_BY_WORD, SHUT_FOR_GOOD = range(5)
 
 
-def _zone(tag: str, rest: str, zone: int) -> tuple[int, str]:
-    """Zone of an element inside a zone, and its classes."""
+def _zone(tag: str, rest: str, zone: int, by_words: bool = True) -> tuple[int, str]:
+    """Zone of an element inside a zone, and its classes. Without by_words no class but an article's own closes a branch to articles."""
     words: set[str] = set()
+    leading: set[str] = set()
+    named: set[str] = set()
     classes = role = ""
     hidden = False
     if rest and len(rest) > 2:
@@ -84,6 +89,8 @@ def _zone(tag: str, rest: str, zone: int) -> tuple[int, str]:
             if key == "class" or key == "id":
                 classes += value
                 words.update(LETTERS.findall(value))
+                named.update(value.split())
+                leading.update(w for x in value.split() for w in LETTERS.findall(x)[:1])
             elif key == "role":
                 role = value
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
@@ -94,10 +101,18 @@ def _zone(tag: str, rest: str, zone: int) -> tuple[int, str]:
         return SHUT_FOR_GOOD, classes
     if tag in ("html", "body"):
         return zone, classes
-    if words & STAYS_SHUT or tag in ("aside", "head"):
+    if tag in ("aside", "head"):
         return SHUT_FOR_GOOD, classes
-    if tag in ("article", "main") or role in ("main", "article"):
+    if tag == "main" or role == "main":
         return ARTICLE, classes
+    if zone == SHUT_BY_WORD:
+        return SHUT_BY_WORD, classes
+    if tag == "article" or role == "article":
+        # <article class="comment"> is a comment, <article class="post has-comments"> is none.
+        return (SHUT_BY_WORD if named & STAYS_SHUT else ARTICLE), classes
+    if words & STAYS_SHUT:
+        # A name that begins with the word (related-posts) may hold articles of its own kind; others (content-sidebar-wrap) hold the page's.
+        return (SHUT_BY_WORD if by_words and leading & STAYS_SHUT else SHUT), classes
     if zone == SHUT or tag in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES:
         return SHUT, classes
     if words & BOILERPLATE_WORDS or tag == "header":
@@ -106,7 +121,7 @@ def _zone(tag: str, rest: str, zone: int) -> tuple[int, str]:
     return zone, classes
 
 
-def blocks(page: str) -> list[tuple[int, str, bool]]:
+def blocks(page: str, by_words: bool = True) -> list[tuple[int, str, bool]]:
     """(path, text, whether in an article) of each block that its role doesn't remove."""
     out: list[tuple[int, str, bool]] = []
     pieces: list[str] = []
@@ -152,12 +167,16 @@ def blocks(page: str) -> list[tuple[int, str, bool]]:
                 if inline and stack[k][0] not in INLINE:
                     break
             continue
+        rest = m["rest"] or m["rest2"] or ""
+        unclosed = False
         if name in RAW:
-            rest = m["rest"] or m["rest2"] or ""
-            if not rest.endswith("/") or name in ("script", "style"):
-                close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if rest.endswith("/") and name not in ("script", "style"):
+                continue
+            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            unclosed = close is None and name not in RAW_TO_END
+            if not unclosed:
                 at = close.end() if close else size
-            continue
+                continue
         if name in VOID:
             if not inline:
                 flush()
@@ -168,11 +187,10 @@ def blocks(page: str) -> list[tuple[int, str, bool]]:
                 _close(stack, {"p"}, {"button", "td", "th", "li", "article", "div"})
             if name in SIBLING:
                 _close(stack, SIBLING[name], SCOPE.get(name, set()))
-        rest = m["rest"] or m["rest2"] or ""
         if rest.endswith("/") and inline:
             continue
         before = stack[-1]
-        zone, classes = _zone(name, rest, before[1])
+        zone, classes = (SHUT_FOR_GOOD, "") if unclosed else _zone(name, rest, before[1], by_words)
         if zone != before[1]:
             flush()
         stack.append((name, zone, before[2] if inline else crc32(f"{name}.{classes}".encode("utf-8", "replace"), before[2])))
@@ -191,7 +209,8 @@ def _close(stack: list[tuple[str, int, int]], names: set[str], scope: set[str])
 
 def candidates(page: str | None) -> list[tuple[int, str, bool]]:
     found = blocks(page or "")
-    return [b for b in found if b[2]] or found
+    # A page without any text may have its article in a branch that a class word closed.
+    return [b for b in found if b[2]] or found or [b for b in blocks(page or "", by_words=False) if b[2]]
 
 
 def _content(text: str) -> int:

@@ -2,7 +2,9 @@ r"""Document fingerprints: spot signatures, with DataFrame expressions alone.
 
 Words are runs of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` of the text with A-Z lower-cased. Behind each common word (anchor),
 and behind the text's begin, the next CHAIN content words within SPAN words form a chain; chain and anchor are hashed to
-a spot signature. A document's fingerprint is the set of its signatures; without any chain it is one hash of the text.
+a spot signature. Where anchors are rarer than one in SPAN words, every word between an anchor and the
+next one is an anchor too, so that all parts of a text count, whatever its language. A document's fingerprint is the
+set of its signatures; without any chain it is one hash of the text.
 The string of a fingerprint is the set's size and a digest of its sorted signatures.
 
 Two fingerprints are compared by the Jaccard likeness of their sets. The ratio of the set lengths bounds it from above, so
@@ -42,10 +44,16 @@ ANCHORS = sorted(
 
 
 def signatures(text: Column) -> Column:
-    """Distinct spot signatures of a text, array<long>; needs `_words` from with_signatures."""
-    words = F.col("_words")
-    anchor_at = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: (i == 0) | F.get(words, i - 1).isin(ANCHORS))
+    """Distinct spot signatures of a text, array<long>; needs `_words` and `_common` from with_signatures."""
+    words, common = F.col("_words"), F.col("_common")
     # Position i stands for the anchor words[i - 1]; 0 is the begin.
+    following = F.concat(F.slice(common, F.lit(2), F.size(common)), F.array(F.size(words) + 1))
+    rare = F.zip_with(
+        common,
+        following,
+        lambda at, then: F.when(then - at > SPAN, F.sequence(at + 1, then - 1)).otherwise(F.array().cast("array<int>")),
+    )
+    anchor_at = F.concat(common, F.flatten(rare))
     chain = lambda i: F.slice(F.filter(F.slice(words, i + 1, F.lit(SPAN)), lambda w: ~w.isin(ANCHORS)), 1, CHAIN)
     chains = F.filter(
         F.transform(
@@ -60,7 +68,8 @@ def signatures(text: Column) -> Column:
 
 def with_signatures(rows: DataFrame, text: str, name: str) -> DataFrame:
     words = F.filter(split_words(F.col(text)), lambda w: w != "")
-    return rows.withColumn("_words", words).withColumn(name, signatures(F.col(text))).drop("_words")
+    common = F.filter(F.sequence(F.lit(0), F.size("_words")), lambda i: (i == 0) | F.get(F.col("_words"), i - 1).isin(ANCHORS))
+    return rows.withColumn("_words", words).withColumn("_common", common).withColumn(name, signatures(F.col(text))).drop("_words", "_common")
 
 
 def fingerprint(sigs: Column) -> Column:

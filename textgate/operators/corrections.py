@@ -61,7 +61,8 @@ def promotion_fixpoint(exchanges: DataFrame, spec: Section, most_rounds: int = 1
 
     exchanges: seq (order), ts, and what score() needs. A key is promoted by the message at which its count within the
     window reaches the threshold, and acts on later messages. All messages are scored with the promotions known so far,
-    those are computed anew, until they stay: promotions only come earlier, and each round settles one at least.
+    those are computed anew, until they stay: promotions only come earlier, and each round settles one at least. Promotions
+    that still move after most_rounds are an error.
     Returns the scored rows and the rules (with `after`: the seq of the promoting message). The rules are few: each needs
     a threshold of occurrences of one text."""
     days = spec.corrections.aggregation_window_days
@@ -77,6 +78,8 @@ def promotion_fixpoint(exchanges: DataFrame, spec: Section, most_rounds: int = 1
         if {k: v["after"] for k, v in new.items()} == {k: v["after"] for k, v in after.items()} or not spec.corrections.auto_promote:
             break
         after = new
+    else:
+        raise RuntimeError(f"promotions still move after {most_rounds} rounds")
     rules = [
         dict(zip(KEY, k, strict=True)) | {"action": ACTION, "deduction": DEDUCTION, "promoted_date": f"{v['ts']:%Y-%m-%d}", "occurrence_count": v["n"], "after": v["after"]}
         for k, v in sorted(after.items(), key=lambda x: (x[1]["after"], x[0]))

@@ -7,8 +7,8 @@ next one is an anchor too, so that all parts of a text count, whatever its langu
 set of its signatures; without any chain it is one hash of the text.
 The string of a fingerprint is the set's size and a digest of its sorted signatures.
 
-Two fingerprints are compared by the Jaccard likeness of their sets. The ratio of the set lengths bounds it from above, so
-comparisons for a threshold partition the sets by length and drop pairs by that bound before any set is read (`alike`).
+Two fingerprints are compared by the Jaccard likeness of their sets; the query compares a row with its edited text and with
+the next row. A search for similar documents is not built: `alike` (bound by set lengths) and `length_class` are unused.
 
 Neighbours (`with_next`): rows are ordered by descending doc_id, ties by a hash of the text, null ids last. They are dealt
 into buckets of nearly equal row counts by quantiles of doc_id; the head of each bucket is also dealt to the bucket

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,16 +83,15 @@ def tail_size(region: str | None, default: int) -> int:
 
 
 def strings(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    """An array literal, as one SQL text: far fewer calls to the JVM than a literal each."""
+    quoted = ("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"array({', '.join(quoted)})") if values else F.array().cast("array<string>")
 
 
 def has_any(c: Column, needles: list[str]) -> Column:
     """Whether the lowered text contains one of the (lowered) needles; empty needles don't count."""
-    out = F.lit(False)
-    for n in needles:
-        if n:
-            out = out | F.contains(c, F.lit(n.lower()))
-    return out
+    kept = [n.lower() for n in needles if n]
+    return F.exists(strings(kept), lambda n: F.contains(c, n)) if kept else F.lit(False)
 
 
 def first_match(c: Column, given: list[tuple[str, str]]) -> Column:
@@ -106,18 +106,29 @@ def any_match(c: Column, given: list[tuple[str, str]]) -> Column:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value written, and evaluated, once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def one_decimal(x: Column) -> Column:
     """x >= 0 with one decimal: the nearest to the double's exact value, halves to even.
 
     20 x is formed with its rounding error (16 x and 4 x are exact), so that a half is known from a near half."""
-    a, b = x * 16, x * 4
-    s = a + b
-    bb = s - a
-    error = (a - (s - bb)) + (b - bb)
-    low = F.floor(s / 2)
-    over = (s - (low * 2 + 1)) + error
-    tenths = low + F.when((over > 0) | ((over == 0) & (low % 2 == 1)), 1).otherwise(0)
-    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+    def rounded(v: Column) -> Column:
+        low, over = v["low"], v["over"]
+        tenths = low + F.when((over > 0) | ((over == 0) & (low % 2 == 1)), 1).otherwise(0)
+        return let(tenths, lambda t: F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string")))
+
+    def summed(v: Column) -> Column:
+        s, a, b = v["s"], v["a"], v["b"]
+        error = let(s - a, lambda bb: (a - (s - bb)) + (b - bb))
+        low = F.floor(s / 2)
+        return F.struct(low.alias("low"), ((s - (low * 2 + 1)) + error).alias("over"))
+
+    parts = let(x, lambda v: F.struct((v * 16 + v * 4).alias("s"), (v * 16).alias("a"), (v * 4).alias("b")))
+    return let(let(parts, summed), rounded)
 
 
 def issue(category: str, detail: Column | str, deduction: Column | int) -> Column:

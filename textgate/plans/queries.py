@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textgate.functions.classify import classify
-from textgate.llm.common import shared_dir
 from textgate.operators import corrections, validators
 from textgate.operators.exchanges import pair, with_prior
 from textgate.operators.score import RULES, flat_issues, score
 from textgate.plans import sql
 from textgate.sources.transcripts import parse_jsonl, parse_markdown
 from textgate.spec import default_spec, with_changes
+from textgate.storage import shared_dir
 
 SPEC = default_spec()
 TUNED = with_changes(
@@ -30,9 +30,11 @@ TUNED = with_changes(
         "filters.floate.words": ["the", "of", "and", "with", "that", "from"],
         "filters.badverbs.words": ["thly", "erly", "anly", "only", "rely"],
         "lexical.modal_verbs": ["the", "of", "and", "with", "that", "from"],
-        "rhythm.triple_beat.pattern": r"\w+,\s+\w+,\s+and\s+\w+",
+        "rhythm.triple_beat.pattern": r"\w+,\s+\w+",
     },
 )
+# The shipped rhythm patterns, with their doubled backslashes, match no prose; these are the same ones with single backslashes.
+RHYTHM = with_changes(SPEC, {f"rhythm.{k}.pattern": SPEC.rhythm[k].pattern.replace("\\\\", "\\") for k in ("bullet_explain", "parallel_construction", "triple_beat")})
 LINES = "\n".join(f"line {i}" for i in range(12))
 PLANTS = [
     ("My lawyer asks: ", "Great question! ", " The bottom line is here."),
@@ -58,9 +60,14 @@ PLANTS = [
     ("", "the same four words again are here. the same four words again are there. ", ""),
     ("", "the same four words again are here! ", " In summary."),
     ("", "- \\\\w numbers, letters, and signs; red, green, and blue. ", ""),
+    ("", "Why:\n- **Speed**: it answers before anyone has asked.\n- **Cost** - nobody here ever has to pay it.\n* **Size**: it fits into every pocket there is.\n", ""),
+    ("", "Speed is good.\n\nCost was low.\n\nSizes have grown.\n\n", ""),
+    ("", "Red, green, and blue; one, two, and three. ", ""),
+    ("", "Let's dive in. In light of that, look no further. ", " For instance this."),
     ("", "", ""),
 ]
 AS_OF = datetime.datetime(2026, 2, 2, tzinfo=datetime.UTC)
+WRITTEN = datetime.datetime(2026, 2, 1, tzinfo=datetime.UTC)
 STAMP = "2026-01-01 00:00:00+00"
 RULE_ROWS = [
     {"content_class": "generic", "type": "filler", "pattern": "'to be fair'", "action": "reject", "deduction": 9, "promoted_date": "2026-01-01", "occurrence_count": 5},
@@ -92,8 +99,12 @@ def classify_prompts(spark, sf_dir):
     return planted(spark, sf_dir).select(*KEYS, classify(F.col("prompt"), none, F.array().cast("array<string>")).alias("content_class"))
 
 
+def spec_of(validator: str):
+    return RHYTHM if validator in SPEC.rhythm or validator == "bullet_rhythm" else SPEC
+
+
 def _validator(v: Callable) -> Callable:
-    return lambda spark, sf_dir: flat_issues(score(planted(spark, sf_dir), SPEC, only=[v]), KEYS)
+    return lambda spark, sf_dir: flat_issues(score(planted(spark, sf_dir), spec_of(v.__name__), only=[v]), KEYS)
 
 
 def _on_documents(v: Callable) -> Callable:
@@ -139,6 +150,12 @@ def promotion_candidates(spark, sf_dir):
     return corrections.candidates(_ledger(spark, sf_dir), rules, F.lit(AS_OF), SPEC)
 
 
+def promotion_semi_gate(spark, sf_dir):
+    """The keys written in the ledger's last days (from WRITTEN on) that are due."""
+    ledger = _ledger(spark, sf_dir)
+    return corrections.due_keys(ledger, ledger.filter(F.col("at") >= F.lit(WRITTEN)), F.lit(AS_OF), SPEC)
+
+
 def promotion_fixpoint(spark, sf_dir):
     rows = planted(spark, sf_dir).withColumns({"seq": F.col("conv_id") * 8 + F.col("turn"), "ts": _at()})
     spec = with_changes(SPEC, {"corrections.promotion_threshold": 40})
@@ -146,26 +163,61 @@ def promotion_fixpoint(spark, sf_dir):
     return scored.select(*KEYS, "score", F.size("issues").alias("n_issues"))
 
 
+HINTS = ["Legal", "content-copy", "no such class", " build "]
+PARSED = ["file", "line_no", "source", "session_id", "prompt", "response", F.coalesce("content_class_hint", F.lit("none")).alias("content_class_hint"), F.array_join("labels", ",").alias("labels")]
+
+
+def _lines(rows: DataFrame, file, record, others: list) -> DataFrame:
+    """Three lines a row: the record, what others give (at some turns), and junk."""
+    lines = F.array(record, F.get(F.array(*others), (F.col("turn") % len(others)).cast("int")), F.lit('{"type": "user", broken'))
+    out = rows.select(file.alias("file"), "turn", F.posexplode(lines).alias("at", "line"))
+    return out.select("file", (F.col("turn") * 3 + F.col("at")).alias("line_no"), "line")
+
+
+def _hint():
+    return F.get(F.array(*map(F.lit, HINTS)), (F.col("turn") % len(HINTS)).cast("int"))
+
+
 def jsonl_message_parse(spark, sf_dir):
+    """Sessions change every four turns; turns carry hints and labels in two places; tool results keep the prompt."""
     block = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
-    line = F.to_json(F.struct(F.col("role").alias("type"), F.concat(F.lit("s"), "conv_id").alias("sessionId"), F.struct(block.alias("content")).alias("message")))
-    lines = conversations(spark, sf_dir).select(F.concat(F.lit("f"), "conv_id").alias("file"), F.col("turn").alias("line_no"), line.alias("line"))
-    return parse_jsonl(lines).select("file", "line_no", "source", "session_id", "prompt", "response")
+    labels = F.array(F.lit("a"), F.concat(F.lit("l"), "turn"))
+    own, meta = F.col("turn") % 3 == 0, F.col("turn") % 3 == 1
+    record = F.struct(
+        F.col("role").alias("type"),
+        F.when(F.col("turn") % 4 == 0, F.concat(F.lit("s"), "conv_id", F.lit("-"), F.floor(F.col("turn") / 4))).alias("sessionId"),
+        F.struct(block.alias("content")).alias("message"),
+        F.when(own, _hint()).alias("content_class"),
+        F.when(own, labels).alias("labels"),
+        F.when(meta, F.struct(_hint().alias("content_class"), labels.alias("labels"))).alias("metadata"),
+    )
+    others = [F.lit('{"type": "user", "message": {"content": [{"type": "tool_result", "content": "x"}]}}'), F.lit('{"type": "progress", "message": {}}'), F.lit("")]
+    lines = _lines(conversations(spark, sf_dir), F.concat(F.lit("f"), "conv_id"), F.to_json(record), others)
+    return parse_jsonl(lines).select(*PARSED)
 
 
 def jsonl_responses_parse(spark, sf_dir):
+    """Files of even conversations name their session; others get it from the file's name."""
     block = F.array(F.struct(F.when(F.col("role") == "user", "input_text").otherwise("output_text").alias("type"), F.col("text").alias("text")))
-    payload = F.struct(F.lit("message").alias("type"), F.col("role"), block.alias("content"))
-    line = F.to_json(F.struct(F.lit("response_item").alias("type"), payload.alias("payload")))
-    lines = conversations(spark, sf_dir).select(F.concat(F.lit("dir/run-019"), "conv_id", F.lit(".jsonl")).alias("file"), F.col("turn").alias("line_no"), line.alias("line"))
-    return parse_jsonl(lines).select("file", "line_no", "source", "session_id", "prompt", "response")
+    place = F.struct(_hint().alias("content_class"), F.array(F.lit("b")).alias("labels"))
+    payload = F.struct(F.lit("message").alias("type"), F.col("role"), block.alias("content"), F.when(F.col("turn") % 2 == 1, place).alias("metadata"))
+    record = F.to_json(F.struct(F.lit("response_item").alias("type"), payload.alias("payload")))
+    meta = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.when(F.col("conv_id") % 2 == 0, F.struct(F.concat(F.lit("m"), "conv_id").alias("id"))).alias("payload")))
+    others = [meta, F.lit('{"type": "event_msg", "payload": {}}')]
+    lines = _lines(conversations(spark, sf_dir), F.concat(F.lit("dir/run-019"), "conv_id", F.lit(".jsonl")), record, others)
+    return parse_jsonl(lines).select(*PARSED)
 
 
 def markdown_parse(spark, sf_dir):
-    said = F.concat(F.when(F.col("role") == "user", "**User:** ").otherwise("**Assistant:** "), "text")
+    """Some turns are closed by dashes and followed by more of the prompt; some answers are blank and closed, some prompts are blank."""
+    mark = F.when(F.col("role") == "user", "**User:** ").otherwise("**Assistant:** ")
+    nth = F.col("conv_id") + F.col("turn")
+    text = F.when((F.col("role") == "assistant") & (nth % 6 == 0), "").when((F.col("role") == "user") & (nth % 7 == 0), " ").otherwise(F.col("text"))
+    tail = F.when(nth % 3 == 0, "\n--- end\nmore of it\n---\nand more").when(nth % 5 == 1, "\nlast words ").otherwise("")
+    said = F.concat(mark, text, tail)
     files = conversations(spark, sf_dir).filter("role in ('user', 'assistant')").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))).alias("t"))
     files = files.select(F.concat(F.lit("f"), "conv_id").alias("file"), F.array_join(F.transform("t", lambda x: x["said"]), "\n").alias("text"))
-    return parse_markdown(files).select("file", "source", "session_id", "prompt", "response")
+    return parse_markdown(files).select("file", "line_no", "source", "session_id", "prompt", "response")
 
 
 def _write_transcripts(rows: DataFrame, where: Path) -> None:
@@ -203,7 +255,7 @@ ON_DOCUMENTS = {"floate_words": validators.floate_words, "badverbs": validators.
 
 def queries() -> dict[str, Callable]:
     plain = [
-        score_all, issues_flat, score_with_rules, exchange_pairing, classify_prompts, corrections_fanout, corrections_window_counts, promotion_candidates, promotion_fixpoint,
+        score_all, issues_flat, score_with_rules, exchange_pairing, classify_prompts, corrections_fanout, corrections_window_counts, promotion_candidates, promotion_semi_gate, promotion_fixpoint,
         jsonl_message_parse, jsonl_responses_parse, markdown_parse, stream_tail_score,
     ]
     return (
@@ -215,7 +267,7 @@ def oracle_sql() -> dict[str, str]:
     base = sql.base(PLANTS, SPEC.repetition.lookback_turns)
     each = sql.issues(SPEC)
     columns = "conv_id, turn, ord::INT AS ord, category, detail, deduction::INT AS deduction"
-    out = {n: f"{base} SELECT {columns} FROM ({q})" for n, q in each.items()}
+    out = {n: f"{base} SELECT {columns} FROM ({sql.issues(spec_of(n))[n]})" for n in each}
     tuned = sql.issues(TUNED)
     out |= {f"documents_{n}": f"{sql.documents()} SELECT conv_id AS doc_id, ord::INT AS ord, category, detail, deduction::INT AS deduction FROM ({tuned[n]})" for n in ON_DOCUMENTS}
     union = " UNION ALL ".join(f"SELECT conv_id, turn, {k} AS v, ord, category, detail, deduction FROM ({q})" for k, q in enumerate(each.values()))
@@ -244,8 +296,21 @@ def oracle_sql() -> dict[str, str]:
     out["corrections_window_counts"] = f"{count} SELECT content_class, type, pattern, n::BIGINT AS occurrence_count FROM c"
     out["promotion_candidates"] = f"""{count}, r(rc, rt, rp, rd, rj) AS (VALUES {known}) SELECT content_class, type, pattern, 'reject' AS action, 5 AS deduction, '2026-02-02' AS promoted_date, n::INT AS occurrence_count
       FROM c WHERE n >= {SPEC.corrections.promotion_threshold} AND NOT EXISTS (SELECT 1 FROM r WHERE rc = content_class AND rt = type AND rp = pattern)"""
-    paired = f"WITH {sql.turns_sql()} SELECT {{}} coalesce(prompt, '') AS prompt, text AS response FROM t WHERE role = 'assistant'"
-    out["jsonl_message_parse"] = paired.format("'f' || conv_id AS file, turn AS line_no, 'message-jsonl' AS source, 's' || conv_id AS session_id,")
-    out["jsonl_responses_parse"] = paired.format("'dir/run-019' || conv_id || '.jsonl' AS file, turn AS line_no, 'responses-jsonl' AS source, '019' || conv_id AS session_id,")
-    out["markdown_parse"] = f"WITH {sql.turns_sql()} SELECT 'f' || conv_id AS file, 'markdown' AS source, 'markdown' AS session_id, {sql.trim('coalesce(prompt, chr(32))')} AS prompt, {sql.trim('text')} AS response FROM t WHERE role = 'assistant' AND {sql.trim('text')} <> ''"
+    written = f"WHERE TIMESTAMP '2026-01-01' + to_hours((conv_id * 8 + turn)::BIGINT) >= TIMESTAMP '2026-02-01'"
+    out["promotion_semi_gate"] = f"""{count} SELECT content_class, type, pattern, n::BIGINT AS occurrence_count FROM c
+      WHERE n >= {SPEC.corrections.promotion_threshold} AND EXISTS (SELECT 1 FROM f {written} AND f.content_class = c.content_class AND f.type = c.type AND f.pattern = c.pattern)"""
+    hint = f"CASE turn % {len(HINTS)} WHEN 0 THEN 'legal' WHEN 1 THEN 'content_copy' WHEN 3 THEN 'technical_build' ELSE 'none' END"
+    said = "last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id{} ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    parsed = "SELECT * EXCLUDE (role) FROM (SELECT {} AS file, turn * 3 AS line_no, {} AS source, {} AS session_id, coalesce({}, '') AS prompt, coalesce(text, '') AS response, {} AS content_class_hint, {} AS labels, role FROM (SELECT *, first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'system' AS late FROM conversations)) WHERE role = 'assistant'"
+    # A system record ahead of all others isn't of a known dialect yet, so the session begins with the next id, without a change.
+    epoch = "CASE WHEN late THEN greatest(1, turn // 4) ELSE turn // 4 END"
+    out["jsonl_message_parse"] = parsed.format(
+        "'f' || conv_id", "'message-jsonl'", "CASE WHEN late AND turn < 4 THEN '' ELSE 's' || conv_id || '-' || (turn // 4) END", said.format(f", {epoch}"),
+        f"CASE WHEN turn % 3 < 2 THEN {hint} ELSE 'none' END", "CASE WHEN turn % 3 < 2 THEN 'a,l' || turn ELSE '' END",
+    )
+    out["jsonl_responses_parse"] = parsed.format(
+        "'dir/run-019' || conv_id || '.jsonl'", "'responses-jsonl'", "CASE WHEN conv_id % 2 = 0 AND min(CASE WHEN turn % 2 = 0 THEN turn END) OVER (PARTITION BY conv_id) < turn THEN 'm' || conv_id WHEN conv_id % 2 = 0 THEN '' ELSE '019' || conv_id END", said.format(""),
+        f"CASE WHEN turn % 2 = 1 THEN {hint} ELSE 'none' END", "CASE WHEN turn % 2 = 1 THEN 'b' ELSE '' END",
+    )
+    out["markdown_parse"] = sql.markdown()
     return out

@@ -94,7 +94,8 @@ def issues(s: Section) -> dict[str, str]:
     before, after = arch.issue_template.split("{tell}")
     rule = "list_filter(generate_series(1, len(string_split(response, chr(10)))), lambda k: k > 10 AND string_split(response, chr(10))[k] = '---')[1]"
     tail = lambda n: f"response[-{n} :]"  # noqa: E731  the planted tails are ASCII; byte tails have tests of their own
-    rhythm = lambda cfg, flags: f"len(regexp_extract_all(response, {lit(flags + cfg.pattern)}))"
+    letters = lambda x: x.replace(r"\w", r"[\p{L}\p{M}\p{N}_]")
+    rhythm = lambda cfg, flags: f"len(regexp_extract_all(response, {lit(flags + (cfg.pattern if chr(92) * 2 in cfg.pattern else letters(cfg.pattern)))}))"
     return {
         "floate_words": capped("FLOATE", "'word:' || x", f.deduction_per_hit, str(f.max_deduction), unnested(floate)),
         "floate_phrases": capped("FLOATE", "'phrase:' || x", f.deduction_per_hit, "left_over", found_phrases),
@@ -147,3 +148,34 @@ def documents(text: str = "text") -> str:
   SELECT doc_id AS conv_id, row_number() OVER () AS turn, coalesce({text}, '') AS response, lower(coalesce({text}, '')) AS low,
          greatest(1, len(regexp_extract_all(coalesce({text}, ''), '\\S+'))) AS words FROM documents
 )"""
+
+
+def markdown() -> str:
+    return f"""WITH d AS (
+  SELECT 'f' || conv_id AS file, turn, conv_id + turn AS nth, role, coalesce(text, '') AS text FROM conversations WHERE role IN ('user', 'assistant')
+), x AS (
+  SELECT file, string_split(string_agg(CASE role WHEN 'user' THEN '**User:** ' ELSE '**Assistant:** ' END
+      || CASE WHEN role = 'assistant' AND nth % 6 = 0 THEN '' WHEN role = 'user' AND nth % 7 = 0 THEN ' ' ELSE text END
+      || CASE WHEN nth % 3 = 0 THEN chr(10) || '--- end' || chr(10) || 'more of it' || chr(10) || '---' || chr(10) || 'and more' WHEN nth % 5 = 1 THEN chr(10) || 'last words ' ELSE '' END,
+    chr(10) ORDER BY turn), chr(10)) AS lines FROM d GROUP BY file
+), l AS (
+  SELECT file, unnest(range(len(lines))) AS no, unnest(lines) AS line FROM x
+), k AS (
+  SELECT *, CASE WHEN starts_with(line, '**User:**') THEN 'u' WHEN starts_with(line, '**Assistant:**') THEN 'a' WHEN starts_with(line, '---') THEN 'r' ELSE 'o' END AS kind FROM l
+), p AS (
+  SELECT *, sum((kind IN ('u', 'a'))::INT) OVER w AS part, sum((kind = 'u')::INT) OVER w AS asked FROM k WINDOW w AS (PARTITION BY file ORDER BY no)
+), q AS (
+  SELECT *, first_value(kind) OVER w AS opens, sum((kind = 'r')::INT) OVER w AS rules,
+         CASE kind WHEN 'u' THEN {trim("substring(line, 10)")} WHEN 'a' THEN {trim("substring(line, 15)")} WHEN 'o' THEN line END AS content
+  FROM p WHERE part > 0 WINDOW w AS (PARTITION BY file, part ORDER BY no)
+), r AS (
+  SELECT file, asked, part, min(no) AS no, max(rules) AS rules, {trim("string_agg(content, chr(10) ORDER BY no) FILTER (WHERE rules = 0)")} AS response
+  FROM q WHERE opens = 'a' GROUP BY ALL
+), b AS (
+  SELECT file, asked, content AS begin FROM q WHERE kind = 'u' AND content <> ''
+), m AS (
+  SELECT r.file, r.part, {trim("string_agg(q.content, chr(10) ORDER BY q.no)")} AS prompt
+  FROM r JOIN b USING (file, asked) JOIN q ON q.file = r.file AND q.asked = r.asked AND q.no < r.no AND NOT (q.opens = 'a' AND q.rules = 0) AND q.content IS NOT NULL GROUP BY ALL
+)
+SELECT file, no::BIGINT AS line_no, 'markdown' AS source, 'markdown' AS session_id, coalesce(prompt, '') AS prompt, response
+FROM r LEFT JOIN m USING (file, part) WHERE response <> '' OR rules > 0"""

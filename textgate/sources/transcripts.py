@@ -112,48 +112,60 @@ USER, ASSISTANT = "**User:**", "**Assistant:**"
 
 
 def parse_markdown(files: DataFrame) -> DataFrame:
-    """files (file, text) -> exchanges as of parse_jsonl; line_no is the response's first line. A window by file."""
+    """files (file, text) -> exchanges as of parse_jsonl; line_no is the response's first line. Windows by file.
+
+    A response ends at the next mark, at a line that begins with three dashes, or at the end. It counts if it isn't blank, and
+    also if dashes close it. What follows closed responses goes to the prompt, unless that was empty from its begin."""
+    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
     split = F.split(F.regexp_replace("text", "\r\n", "\n"), "\n")
     rows = files.select("file", F.posexplode(split).alias("line_no", "line"))
     kind = (
         F.when(F.startswith("line", F.lit(USER)), "user").when(F.startswith("line", F.lit(ASSISTANT)), "assistant").when(F.startswith("line", F.lit("---")), "rule")
     )
-    by_line = Window.partitionBy("file").orderBy("line_no")
     rows = rows.withColumn("kind", kind)
-    mark = F.when(F.col("kind").isin("user", "assistant"), 1).otherwise(0)
-    rows = rows.withColumn("part", F.sum(mark).over(by_line)).filter("part > 0")
+    by_line = Window.partitionBy("file").orderBy("line_no")
+    marks = lambda *kinds: F.sum(F.when(F.col("kind").isin(*kinds), 1).otherwise(0))
+    rows = rows.withColumns({"part": marks("user", "assistant").over(by_line), "asked": marks("user").over(by_line)}).filter("part > 0")
     in_part = Window.partitionBy("file", "part").orderBy("line_no")
-    rows = rows.withColumns({"opens": F.first("kind").over(in_part), "rules": F.sum(F.when(F.col("kind") == "rule", 1).otherwise(0)).over(in_part)})
+    rows = rows.withColumns({"opens": F.first("kind").over(in_part), "rules": marks("rule").over(in_part)})
     content = (
-        F.when(F.col("kind") == "user", F.substr("line", F.lit(len(USER) + 1)))
-        .when(F.col("kind") == "assistant", F.substr("line", F.lit(len(ASSISTANT) + 1)))
-        .otherwise(F.col("line"))
+        F.when(F.col("kind") == "user", trim(F.substr("line", F.lit(len(USER) + 1))))
+        .when(F.col("kind") == "assistant", trim(F.substr("line", F.lit(len(ASSISTANT) + 1))))
+        .when(F.col("kind").isNull(), F.col("line"))
     )
-    # A response ends at a rule; a prompt only leaves rules out, and what follows a closed response goes to the prompt.
-    rows = rows.withColumn("content", content).filter(F.col("kind").isNull() | (F.col("kind") != "rule"))
-    rows = rows.withColumn("goes_to", F.when((F.col("opens") == "assistant") & (F.col("rules") == 0), "response").otherwise("prompt"))
+    answers = (F.col("opens") == "assistant") & (F.col("rules") == 0)
+    joined = lambda lines: F.array_join(F.transform(F.array_sort(lines), lambda x: x["content"]), "\n")
+    gathered = lambda goes: F.collect_list(F.when(goes & F.col("content").isNotNull(), F.struct("line_no", "content")))
     parts = (
-        rows.groupBy("file", "part", "opens")
+        rows.withColumn("content", content)
+        .groupBy("file", "asked", "part", "opens")
         .agg(
             F.min("line_no").alias("line_no"),
-            *(F.array_sort(F.collect_list(F.when(F.col("goes_to") == g, F.struct("line_no", "content")))).alias(f"{g}_lines") for g in ("response", "prompt")),
+            F.max("rules").alias("rules"),
+            F.first(F.when(F.col("kind") == "user", F.col("content")), ignorenulls=True).alias("begin"),
+            gathered(answers).alias("response"),
+            gathered(~answers).alias("prompt"),
         )
-        .withColumns({g: F.array_join(F.transform(f"{g}_lines", lambda x: x["content"]), "\n") for g in ("response", "prompt")})
+        .withColumns({"response": trim(joined(F.col("response"))), "prompt": F.when(F.size("prompt") > 0, joined(F.col("prompt")))})
     )
-    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
-    by_part = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    asked = F.last(F.when(F.col("opens") == "user", trim(F.col("prompt"))), ignorenulls=True).over(by_part)
+    before = Window.partitionBy("file", "asked").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.first("begin").over(before)
+    prompt = F.when(begin != "", trim(F.array_join(F.collect_list("prompt").over(before), "\n"))).otherwise("")
     return (
-        parts.withColumn("prompt", F.coalesce(asked, F.lit("")))
-        .filter("opens = 'assistant'")
+        parts.withColumn("prompt", prompt)
+        .filter("opens = 'assistant' and (response <> '' or rules > 0)")
         .select(
             "file", F.col("line_no").cast("long"), F.lit("markdown").alias("source"), F.lit("markdown").alias("session_id"), F.lit("").alias("cwd"), "prompt",
-            trim(F.col("response")).alias("response"), F.lit(None).cast("string").alias("content_class_hint"), F.array().cast("array<string>").alias("labels"),
+            "response", F.lit(None).cast("string").alias("content_class_hint"), F.array().cast("array<string>").alias("labels"),
         )
-        .filter("response <> ''")
     )
 
 
-def read_markdown(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_markdown(spark: SparkSession, path: str | list[str], after: dict[str, int] | None = None) -> DataFrame:
+    """All *.md below path. after: how many bytes of a file (by its path as Spark gives it) have been read before."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").format("binaryFile").load(path)
-    return parse_markdown(files.select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")))
+    content = F.col("content")
+    if after:
+        offset = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in after.items() for x in pair)), F.col("path")), F.lit(0))
+        content = F.substring(content, offset + 1, F.length(content))
+    return parse_markdown(files.select(F.col("path").alias("file"), F.make_valid_utf8(content.cast("string")).alias("text")))

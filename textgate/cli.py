@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 import sys
+from pathlib import Path
 
 from textgate.functions.classify import class_name
 from textgate.spec import SpecError, expand_home, load_spec
 
 
+HOME_FOLDER = "~/.textgate"
+
+
+def own_config() -> str | None:
+    """The user's own configuration, if there is one; else the built-in one counts."""
+    path = f"{HOME_FOLDER}/spec.toml"
+    return path if Path(expand_home(path)).is_file() else None
+
+
 def session():
     from pyspark.sql import SparkSession
 
@@ -44,7 +54,7 @@ def main(args: list[str]) -> int:
             print(f"unknown content class: {values['--content-class'][-1]}", file=sys.stderr)
             return 2
     try:
-        path = values["--config"][-1] if values["--config"] else None
+        path = values["--config"][-1] if values["--config"] else own_config()
         spec = load_spec(path)
     except SpecError as e:
         print(e, file=sys.stderr)
@@ -55,7 +65,9 @@ def main(args: list[str]) -> int:
     elif mode == "--daemon":
         from textgate.streaming.daemon import Daemon
 
-        Daemon(session(), path or spec, expand_home("~/.observer/checkpoint")).start().awaitTermination()
+        daemon = Daemon(session(), path or spec, Path(expand_home(f"{HOME_FOLDER}/checkpoint")).absolute().as_uri())
+        daemon.reload_on_signal()
+        daemon.start().awaitTermination()
     else:
         print(f"textgate: {len(spec.daemon.watch_paths)} watched paths, passing score {spec.scoring.passing_score}. Use --validate or --daemon.")
     return 0

@@ -1,5 +1,8 @@
-"""A streaming source of the lines that are appended to JSONL files: reads from byte offsets, waits for line feeds,
-begins anew when a file was truncated or replaced. Files must be on a path that driver and executors both see."""
+"""A streaming source of what is appended to transcripts. Files must be on a path that driver and executors both see.
+
+JSONL: a row for each line, read from byte offsets; it waits for line feeds and begins anew when a file was truncated or
+replaced. Markdown: a row for all that is behind the offset, if the file is UTF-8; the offset then is the file's length, so
+a file that shrank is read again from there on only."""
 
 from __future__ import annotations
 
@@ -11,6 +14,22 @@ from pathlib import Path
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 
+SUFFIXES = (".jsonl", ".md")
+
+
+def _is_markdown(file: str) -> bool:
+    return file.endswith(".md")
+
+
+def _is_utf8(path: str) -> bool:
+    with open(path, "rb") as f:
+        try:
+            f.read().decode("utf-8")
+        except UnicodeDecodeError:
+            return False
+    return True
+
+
 class Piece(InputPartition):
     def __init__(self, file: str, start: int, end: int, generation: int) -> None:
         self.file, self.start, self.end, self.generation = file, start, end, generation
@@ -41,8 +60,8 @@ class TailReader(DataSourceStreamReader):
     def _files(self) -> Iterator[str]:
         for p in map(Path, self.paths):
             if p.is_dir():
-                yield from sorted(str(f) for f in p.rglob("*.jsonl") if f.is_file())
-            elif p.suffix == ".jsonl" and p.is_file():
+                yield from sorted(str(f) for f in p.rglob("*") if f.suffix in SUFFIXES and f.is_file())
+            elif p.suffix in SUFFIXES and p.is_file():
                 yield str(p)
 
     def latestOffset(self) -> dict:
@@ -52,6 +71,10 @@ class TailReader(DataSourceStreamReader):
             try:
                 s = os.stat(f)
                 was = known.get(f)
+                if _is_markdown(f):
+                    if time.time() - s.st_mtime >= self.debounce_s and (was is None or s.st_size != was["at"]) and _is_utf8(f):
+                        out[f] = {"at": s.st_size, "ino": [s.st_dev, s.st_ino], "generation": 0}
+                    continue
                 fresh = was is None or was["ino"] != [s.st_dev, s.st_ino] or s.st_size < was["at"]
                 if time.time() - s.st_mtime < self.debounce_s:
                     continue
@@ -76,6 +99,9 @@ class TailReader(DataSourceStreamReader):
         with open(piece.file, "rb") as f:
             f.seek(piece.start)
             at = piece.start
+            if _is_markdown(piece.file):
+                yield piece.file, piece.generation, at, f.read(piece.end - at).decode("utf-8", "replace")
+                return
             while at < piece.end:
                 line = f.readline()
                 if not line:
@@ -90,11 +116,11 @@ class TailReader(DataSourceStreamReader):
 
 
 class TailSource(DataSource):
-    """format("jsonl_tail").option("path", "a,b").option("debounce_ms", "500")"""
+    """format("transcript_tail").option("path", "a,b").option("debounce_ms", "500")"""
 
     @classmethod
     def name(cls) -> str:
-        return "jsonl_tail"
+        return "transcript_tail"
 
     def schema(self) -> str:
         return "file string, generation long, line_no long, line string"

@@ -60,20 +60,36 @@ def session_of_path(file: Column) -> Column:
     return F.when(F.contains(stem, F.lit("-019")), F.concat(F.lit("019"), F.regexp_extract(stem, r"(?s)^.*-019(.*)\z", 1))).otherwise(stem)
 
 
-def parse_jsonl(lines: DataFrame) -> DataFrame:
-    """lines (file, line_no, line) -> exchanges: file, line_no, source, session_id, cwd, prompt, response, content_class_hint, labels."""
+STATE = "file string, source string, session_id string, cwd string, prompt string"
+
+
+def walked(lines: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """lines (file, line_no, line) -> the records of known files in order, with what a reader of the file knows behind each:
+    source, session_id, cwd, prompt; and role, said, content_class_hint, labels of the record itself.
+
+    state (STATE): what was known of a file when its earlier lines were read; it stands ahead of the file's lines."""
+    # The setting takes effect when the plan runs, so it can't be put back here.
     lines.sparkSession.conf.set(ALLOW_DUPLICATES, "true")  # of repeated keys the last counts
     v = F.col("v")
     by_line = Window.partitionBy("file").orderBy("line_no")
     so_far = by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = by_line.rowsBetween(Window.unboundedPreceding, -1)
-    rows = lines.filter(F.rlike("line", F.lit(r"(?U)\S"))).select("file", "line_no", F.try_parse_json("line").alias("v")).filter("v is not null")
-    rows = rows.withColumn("type", _string(v, "$.type"))
-    dialect = F.when(F.col("type").isin(RESPONSES), "responses-jsonl").when(F.col("type").isin(MESSAGES), "message-jsonl")
-    rows = rows.withColumn("source", F.first(dialect, ignorenulls=True).over(so_far)).filter("source is not null")
+    rows = lines.filter(F.rlike("line", F.lit(r"(?U)\S"))).select("file", F.col("line_no").cast("long"), F.try_parse_json("line").alias("v")).filter("v is not null")
+    type_ = _string(v, "$.type")
+    dialect = F.when(type_.isin(RESPONSES), "responses-jsonl").when(type_.isin(MESSAGES), "message-jsonl")
+    known = lambda c: F.lit(None).cast("string").alias(c)
+    rows = rows.select("file", "line_no", "v", type_.alias("type"), dialect.alias("dialect"), known("known_id"), known("known_cwd"), known("known_prompt"))
+    if state is not None:
+        kept = state.select(
+            "file", F.lit(-1).cast("long").alias("line_no"), F.lit(None).cast("variant").alias("v"), F.lit(None).cast("string").alias("type"), F.col("source").alias("dialect"),
+            F.col("session_id").alias("known_id"), F.col("cwd").alias("known_cwd"), F.col("prompt").alias("known_prompt"),
+        )
+        rows = rows.unionByName(kept)
+    rows = rows.withColumn("source", F.first("dialect", ignorenulls=True).over(so_far)).filter("source is not null")
     is_message = F.col("source") == "message-jsonl"
-    own_id = F.when(is_message, F.nullif(_string(v, "$.sessionId"), F.lit(""))).when(F.col("type") == "session_meta", F.nullif(_string(v, "$.payload.id"), F.lit("")))
-    cwd = F.when(is_message, _string(v, "$.cwd")).when(F.col("type") == "session_meta", _string(v, "$.payload.cwd"))
+    meta = F.col("type") == "session_meta"
+    own_id = F.when(is_message, _string(v, "$.sessionId")).when(meta, _string(v, "$.payload.id"))
+    cwd = F.when(is_message, _string(v, "$.cwd")).when(meta, _string(v, "$.payload.cwd"))
     item = (F.col("type") == "response_item") & (_string(v, "$.payload.type") == "message")
     role = F.when(is_message, F.when(F.col("type").isin("user", "human"), "user").when(F.col("type") == "assistant", "assistant")).when(item, _string(v, "$.payload.role"))
     said = F.when(
@@ -82,7 +98,8 @@ def parse_jsonl(lines: DataFrame) -> DataFrame:
     ).otherwise(_blocks(v, "$.payload.content", ["input_text", "output_text", "text"]))
     (m_hint, m_labels), (r_hint, r_labels) = _meta(v, "$"), _meta(v, "$.payload")
     rows = rows.select(
-        "file", "line_no", "source", own_id.alias("own_id"), cwd.alias("own_cwd"), role.alias("role"), said.alias("said"),
+        "file", "line_no", "source", F.nullif(F.coalesce("known_id", own_id), F.lit("")).alias("own_id"), F.coalesce("known_cwd", cwd).alias("own_cwd"),
+        F.when(F.col("line_no") < 0, "user").otherwise(role).alias("role"), F.coalesce("known_prompt", said).alias("said"),
         F.when(is_message, m_hint).otherwise(r_hint).alias("content_class_hint"), F.when(is_message, m_labels).otherwise(r_labels).alias("labels"),
     )
     rows = rows.withColumns({"session_id": F.last("own_id", ignorenulls=True).over(so_far), "id_before": F.last("own_id", ignorenulls=True).over(before)})
@@ -99,11 +116,27 @@ def parse_jsonl(lines: DataFrame) -> DataFrame:
         }
     )
     fallback = F.when((F.col("source") == "responses-jsonl") & F.col("any_id").isNull(), session_of_path(F.col("file"))).otherwise("")
+    return rows.select("file", "line_no", "source", F.coalesce("session_id", fallback).alias("session_id"), "cwd", "prompt", "role", "said", "content_class_hint", "labels")
+
+
+def exchanges_of(rows: DataFrame) -> DataFrame:
+    """rows of walked -> exchanges."""
     return rows.filter((F.col("role") == "assistant") & F.col("said").isNotNull()).select(
-        "file", "line_no", "source", F.coalesce("session_id", fallback).alias("session_id"), "cwd", "prompt", F.col("said").alias("response"), "content_class_hint", "labels"
+        "file", "line_no", "source", "session_id", "cwd", "prompt", F.col("said").alias("response"), "content_class_hint", "labels"
     )
 
 
+def state_of(rows: DataFrame) -> DataFrame:
+    """rows of walked -> STATE behind the last record of each file."""
+    last = F.max_by(F.struct("source", "session_id", "cwd", "prompt"), "line_no").alias("s")
+    return rows.groupBy("file").agg(last).select("file", "s.*")
+
+
+def parse_jsonl(lines: DataFrame) -> DataFrame:
+    """lines (file, line_no, line) -> exchanges: file, line_no, source, session_id, cwd, prompt, response, content_class_hint, labels."""
+    return exchanges_of(walked(lines))
+
+
 def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_jsonl(read_lines(spark, path))
 

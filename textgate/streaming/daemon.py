@@ -1,34 +1,44 @@
 """The scoring stream: tails transcripts, scores each micro-batch, appends to log and ledger, promotes rules.
 
-Each batch parses its lines together with the carried state of its files (last prompt, session, folder and dialect), so
-batch and stream share one parser: the state is stored as two synthetic lines for each file. Rules and configuration are
-read anew for each batch; promotions act from the next batch on. The checkpoint gives at-least-once; rows are known by
-(file, line_no)."""
+Batch and stream share one parser: what is known of a file behind its last line (dialect, session, folder, prompt) stands as
+one row ahead of the file's next lines. That state and the last responses are tables in the checkpoint folder, one for each
+micro-batch, written by Spark; a batch reads those of the last batch before it, so a batch that is run again after a
+failure, or after a restart, starts from the same state. Rules and configuration are read anew for each batch; promotions
+act from the next batch on. The checkpoint gives at-least-once.
+
+history: "all" keeps one history of responses over everything, as one sequential reader has it (one task sorts a batch's
+responses); "file" keeps one for each file and has no such task."""
 
 from __future__ import annotations
 
 import datetime
-import json
+import signal
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textgate.operators.corrections import any_due, candidates, fan_out
+from textgate.operators.exchanges import with_prior
 from textgate.operators.score import RULES, log_record, score
 from textgate.sources.ledger import append_json, read_ledger, read_rules, write_rules
 from textgate.sources.tail import TailSource
-from textgate.sources.transcripts import parse_jsonl
+from textgate.sources.transcripts import STATE, exchanges_of, parse_markdown, state_of, walked
 from textgate.spec import Section, SpecError, expand_home, load_spec
 
+KEPT_STATE = f"{STATE}, generation long"
+RECENT = "file string, recent array<string>"
+
 
 class Daemon:
-    def __init__(self, spark: SparkSession, spec: Section | str, checkpoint: str, as_of=None) -> None:
-        self.spark, self.checkpoint, self.as_of = spark, checkpoint, as_of
+    def __init__(self, spark: SparkSession, spec: Section | str, checkpoint: str, as_of=None, history: str = "all") -> None:
+        if history not in ("all", "file"):
+            raise ValueError(f"history: {history}")
+        self.spark, self.checkpoint, self.as_of, self.history = spark, checkpoint.rstrip("/"), as_of, history
         self.path = spec if isinstance(spec, str) else None
         self.spec = load_spec(spec) if isinstance(spec, str) else spec
         self.modified = self._mtime()
-        self.prior: list[str] = []
+        self.asked = False
         spark.dataSource.register(TailSource)
 
     def _mtime(self) -> float | None:
@@ -37,10 +47,15 @@ class Daemon:
         except OSError:
             return None
 
+    def reload_on_signal(self) -> None:
+        """SIGHUP makes the next batch read the configuration, changed or not."""
+        signal.signal(signal.SIGHUP, lambda *_: setattr(self, "asked", True))
+
     def reload(self) -> None:
         """Reads a changed configuration; one that can't be read leaves the old one, and is tried again."""
         now = self._mtime()
-        if now is not None and now != self.modified:
+        if now is not None and (self.asked or now != self.modified):
+            self.asked = False
             try:
                 self.spec = load_spec(self.path)
                 self.modified = now
@@ -49,7 +64,7 @@ class Daemon:
 
     def lines(self) -> DataFrame:
         paths = ",".join(map(expand_home, self.spec.daemon.watch_paths))
-        return self.spark.readStream.format("jsonl_tail").option("path", paths).option("debounce_ms", self.spec.daemon.watch_debounce_ms).load()
+        return self.spark.readStream.format("transcript_tail").option("path", paths).option("debounce_ms", self.spec.daemon.watch_debounce_ms).load()
 
     def now(self) -> datetime.datetime:
         return self.as_of or datetime.datetime.now(datetime.UTC)
@@ -72,55 +87,89 @@ class Daemon:
             write_rules(rules + found, self.spec.daemon.patterns_path, self.now().isoformat())
         return found
 
+    def _batches(self, name: str) -> dict[int, str]:
+        """The written tables of that name by batch, in any file system that Spark can reach."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.checkpoint}/{name}")
+        fs = root.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not fs.exists(root):
+            return {}
+        found = [x.getPath() for x in fs.listStatus(root)]
+        done = [p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return {int(p.getName().split("-")[1]): p.toString() for p in done}
+
+    def _kept(self, name: str, schema: str, batch_id: int) -> DataFrame:
+        before = {k: path for k, path in self._batches(name).items() if k < batch_id}
+        return self.spark.read.schema(schema).parquet(before[max(before)]) if before else self.spark.createDataFrame([], schema)
+
+    def _keep(self, name: str, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.checkpoint}/{name}/batch-{batch_id}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for k, old in self._batches(name).items():
+            if k < batch_id - 1:
+                path(old).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path(old), True)
+
+    def _with_history(self, found: DataFrame, recent: DataFrame, lookback: int) -> DataFrame:
+        """Adds prior: the last responses, of this batch and of those before it."""
+        rows = with_prior(found, lookback, [] if self.history == "all" else ["file"], ["file", "line_no"])
+        if self.history == "all":
+            last = recent.first()  # one row of at most `lookback` responses
+            ahead = F.array(*map(F.lit, last["recent"])) if last and last["recent"] else F.array().cast("array<string>")
+            rows = rows.withColumn("recent", ahead)
+        else:
+            rows = rows.join(recent, "file", "left").withColumn("recent", F.coalesce("recent", F.array().cast("array<string>")))
+        return rows.withColumn("prior", _last(F.concat("recent", "prior"), lookback)).drop("recent")
+
+    def _recent(self, scored: DataFrame, recent: DataFrame, lookback: int) -> DataFrame:
+        """The last responses behind this batch."""
+        after = F.max_by(F.concat("prior", F.array("response")), F.struct("file", "line_no"))
+        if self.history == "all":
+            new = scored.agg(after.alias("recent")).filter("recent is not null").select(F.lit("").alias("file"), "recent")
+            new = recent if new.isEmpty() else new
+        else:
+            new = scored.groupBy("file").agg(after.alias("recent"))
+            new = new.unionByName(recent.join(new, "file", "left_anti"))
+        return new.select("file", _last(F.col("recent"), lookback).alias("recent"))
+
     def process(self, batch: DataFrame, batch_id: int) -> None:
         self.reload()
-        state = f"{self.checkpoint}/parser-state"
-        files = [r[0] for r in batch.select("file").distinct().collect()]
-        if not files:
-            return
-        kept = json.loads(Path(state).read_text()) if Path(state).exists() else {}
-        gens = {r[0]: r[1] for r in batch.groupBy("file").agg(F.max("generation")).collect()}
-        carried = [(f, -1, line) for f in files if f in kept and kept[f]["generation"] == gens[f] for line in kept[f]["lines"]]
-        carried = [(f, k - 100, line) for k, (f, _, line) in enumerate(carried)]
-        rows = batch.select("file", "line_no", "line").unionByName(self.spark.createDataFrame(carried, "file string, line_no long, line string"))
-        found = parse_jsonl(rows).filter("line_no >= 0").orderBy("file", "line_no")
-        found = found.withColumn("hour", F.hour(F.lit(self.now())))
-        prior = F.array(*map(F.lit, self.prior)) if self.prior else F.array().cast("array<string>")
-        from textgate.operators.exchanges import with_prior
-
-        lookback = self.spec.repetition.lookback_turns
-        found = with_prior(found, lookback, [], ["file", "line_no"])
-        found = found.withColumn("prior", F.reverse(F.slice(F.reverse(F.concat(prior, "prior")), 1, max(1, lookback))))
+        batch = batch.persist()
+        try:
+            if not batch.isEmpty():
+                self._process(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _process(self, batch: DataFrame, batch_id: int) -> None:
+        lookback = max(1, min(self.spec.repetition.lookback_turns, 20))
+        kept, recent = self._kept("parser-state", KEPT_STATE, batch_id), self._kept("recent", RECENT, batch_id)
+        is_markdown = F.endswith("file", F.lit(".md"))
+        jsonl = batch.filter(~is_markdown)
+        # A file that was truncated or replaced has a new generation, and begins without state.
+        now = jsonl.groupBy("file").agg(F.max("generation").alias("generation"))
+        rows = walked(jsonl.select("file", "line_no", "line"), kept.join(now, ["file", "generation"]).drop("generation")).persist()
+        markdown = parse_markdown(batch.filter(is_markdown).select("file", F.col("line").alias("text")))
+        found = exchanges_of(rows).unionByName(markdown).withColumn("hour", F.hour(F.lit(self.now())))
+        found = self._with_history(found, recent, lookback)
         scored = score(found, self.spec, read_rules(self.spec.daemon.patterns_path)).persist()
         append_json(log_record(scored), self.spec.daemon.validation_log)
         ledger = fan_out(scored, self.spec, ["session_id", "source"])
-        now = self.now().isoformat()
-        written = ledger.select(F.lit(now).alias("ts"), "type", "pattern", F.col("session_id").alias("session"), "score", "source", "context", "content_class")
+        stamp = F.lit(self.now().isoformat()).alias("ts")
+        written = ledger.select(stamp, "type", "pattern", F.col("session_id").alias("session"), "score", "source", "context", "content_class")
         append_json(written, self.spec.daemon.corrections_path)
         if self.spec.corrections.auto_promote and not written.isEmpty() and any_due(read_ledger(self.spark, self.spec.daemon.corrections_path), written, F.lit(self.now()), self.spec):
             self.promote()
-        last = scored.orderBy(F.desc("file"), F.desc("line_no")).limit(max(1, lookback)).select("response").collect()
-        self.prior = (self.prior + [r[0] for r in reversed(last)])[-max(1, lookback) :]
-        self._carry(rows, kept, gens, state)
+        state = state_of(rows).join(now, "file").unionByName(kept.join(now, "file", "left_anti"))
+        self._keep("parser-state", state, batch_id)
+        self._keep("recent", self._recent(scored, recent, lookback), batch_id)
         scored.unpersist()
-
-    def _carry(self, rows: DataFrame, kept: dict, gens: dict, state: str) -> None:
-        """The lines that set dialect, session, folder and prompt last are kept for the file's next batch."""
-        v = F.try_parse_json("line")
-        kind = F.try_variant_get(v, "$.type", "string")
-        role = F.coalesce(F.try_variant_get(v, "$.payload.role", "string"), kind)
-        picks = {
-            "first": F.min_by("line", F.when(kind.isNotNull(), F.col("line_no"))),
-            "session": F.max_by("line", F.when(F.try_variant_get(v, "$.sessionId", "string").isNotNull() | (kind == "session_meta"), F.col("line_no"))),
-            "prompt": F.max_by("line", F.when(role.isin("user", "human"), F.col("line_no"))),
-            "cwd": F.max_by("line", F.when(F.try_variant_get(v, "$.cwd", "string").isNotNull(), F.col("line_no"))),
-        }
-        for r in rows.groupBy("file").agg(*(c.alias(k) for k, c in picks.items()), *(F.max(F.when(F.col("line") == "", 0)).alias("_"),)).collect():
-            kept[r["file"]] = {"generation": gens[r["file"]], "lines": list(dict.fromkeys(x for k in picks if (x := r[k]) is not None))}
-        Path(state).parent.mkdir(parents=True, exist_ok=True)
-        Path(state).write_text(json.dumps(kept))
+        rows.unpersist()
 
     def start(self, once: bool = False):
         self.promote()
         writer = self.lines().writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.checkpoint}/stream")
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+
+
+def _last(items, n: int):
+    return F.reverse(F.slice(F.reverse(items), 1, n))

@@ -8,7 +8,14 @@ set of its signatures; without any chain it is one hash of the text.
 The string of a fingerprint is the set's size and a digest of its sorted signatures.
 
 Two fingerprints are compared by the Jaccard likeness of their sets; the query compares a row with its edited text and with
-the next row. A search for similar documents is not built: `alike` (bound by set lengths) and `length_class` are unused.
+the next row.
+
+Search (`similar_documents`): documents of equal sets are one class. Classes are partitioned by set length, so that sets
+of a likeness of THRESHOLD or more lie in the same partition or in adjacent ones; each signature of a class's prefix
+(rarest first, as many as needed to meet every alike set) is posted to an inverted index by (signature, partition), in its
+own partition and the one below. A pair is compared only if its lengths and the places of the signature leave enough behind
+for the threshold. Buckets of frequent signatures are dealt into chunks, and groups of alike classes are contracted
+around pivots instead of being expanded into pairs (see ngram_join.contracted).
 
 Neighbours (`with_next`): rows are ordered by descending doc_id, ties by a hash of the text, null ids last. They are dealt
 into buckets of nearly equal row counts by quantiles of doc_id; the head of each bucket is also dealt to the bucket
@@ -24,11 +31,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textgate.llm.common import table
+from textgate.llm import ngram_join
+from textgate.llm.common import stored, table
 from textgate.llm.decontaminate import split_words
 
 CHAIN = 3
 SPAN = 10
+THRESHOLD = 0.75  # as ngram_join has it
 BUCKET_ROWS = 512
 MAX_BUCKETS = 16_384
 COARSE = 128
@@ -85,15 +94,25 @@ def likeness(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def alike(a: Column, b: Column, threshold: float) -> Column:
-    """Whether likeness(a, b) >= threshold; sets whose lengths rule it out are not compared."""
-    bound = F.least(F.size(a), F.size(b)) >= threshold * F.greatest(F.size(a), F.size(b))
-    return F.when(bound, likeness(a, b) >= threshold).otherwise(F.lit(False))
-
-
-def length_class(sigs: Column, threshold: float) -> Column:
-    """Partition by set length: alike sets lie in the same class or in adjacent ones."""
-    return F.floor(F.log(F.size(sigs).cast("double")) / F.log(F.lit(1 / threshold))).cast("int")
+def length_class(n: Column) -> Column:
+    """Partition by set length: alike sets lie in the same one or in adjacent ones."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / THRESHOLD))).cast("int")
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, fingerprint, component_id: the smallest doc_id reachable over likenesses of at least
+    THRESHOLD. Nulls and empty texts are alike to each other. A null doc_id never names a component, unless no other row does."""
+    rows = with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "sigs")
+    rows = rows.select("doc_id", F.sort_array("sigs").alias("sigs")).withColumn("k", F.xxhash64("sigs"))
+    rows = stored(rows.select("doc_id", "k", F.size("sigs").alias("n"), fingerprint(F.col("sigs")).alias("fingerprint"), "sigs"), "spot-rows")
+    postings = rows.groupBy("k", "n").agg(F.min("sigs").alias("sigs")).select("k", "n", F.explode("sigs").alias("token"))
+    postings = stored(postings, "spot-postings")
+    counts = postings.groupBy("token").agg(F.count("*").alias("count")).filter("count > 1")
+    level = F.least("count", F.lit(ngram_join.FREQUENT - 1)).cast("int").alias("level")
+    sets = ngram_join.sets_of(postings.join(counts, "token").select("k", "n", "token", level))
+    lengths = F.array(length_class(F.col("n")), length_class(F.col("n")) - 1)
+    members = ngram_join.members_of(sets, F.transform(lengths, lambda x: F.xxhash64(F.col("token"), x)))
+    return ngram_join.with_components(rows.drop("sigs"), ngram_join.contracted(sets, members)).select("doc_id", "fingerprint", "component_id")
 
 
 def _bucket(docs: DataFrame) -> tuple[Column, int]:

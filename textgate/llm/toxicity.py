@@ -1,14 +1,17 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
-A lexical step turns the words of a clause into signs: insult, threat, target, negation, report, other. Small
-transducers rewrite those signs and are composed into one machine, which runs over a clause from left to right:
+Transducers rewrite the words of a clause into signs from left to right; each arc has a weight, and the weights along a
+path multiply. They are composed into one machine:
 
-* negation: an insult or threat up to three words behind a negation becomes a negated one;
-* report: behind a reporting verb or inside quotation marks it becomes a reported one;
-* target: next to a person addressed or spoken of in the clause it becomes an aimed one.
+* insult: a word of the learned lexicon becomes an insult with its log odds as weight; words of the other fixed lists become
+  signs for target, negation, report and quotation marks;
+* threat: a verb of violence becomes a threat, of more weight up to three words behind a word of intent;
+* negation: an insult or threat up to three words behind a negation becomes a negated one, of less weight;
+* report: behind a reporting verb or inside quotation marks it becomes a reported one, of less weight;
+* target: next to a person addressed or spoken of in the clause it becomes an aimed one, of more weight.
 
-So a clause is scored by the signs that leave the machine, not by isolated words. A text's features sum up its clauses
-and a logistic layer turns them into the probability that `labels.toxic` is 1.
+So a clause is scored by the signs and weights that leave the machine, not by isolated words. A text's features sum up its
+clauses and a logistic layer turns them into the probability that `labels.toxic` is 1.
 
 What is learned, from at most about TRAIN_ROWS labelled rows drawn by a hash of doc_id (near copies among them count
 once): the insult lexicon (words and word beginnings that are significantly tied to label 1, with their log odds) and
@@ -26,7 +29,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -42,11 +45,13 @@ TRAIN_ROWS = 12_000
 THRESHOLD = 0.3
 LEAST_COUNT = 5
 LEAST_PRECISION = 0.7
+MAX_KNOWN = 100_000
 PREFIXES = range(4, 9)
 
 # Seeds of the grammar: fixed word lists.
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool imbecile bastard"
 THREATS = "kill hurt destroy beat punch murder shoot stab strangle burn die"
+INTENTS = "will gonna going shall should must i'll we'll they'll you'll werde werden wirst vais vas va allons voy vamos vais"
 TARGETS = "you your yours yourself u he she him her his they them their these those people everyone du dich dir ihr euch sie tu toi te vous vos tú ti usted ustedes ellos ils elles"
 NEGATIONS = "not no never neither nor hardly isn't aren't don't won't nicht kein keine nie ne pas jamais nunca ni sin"
 REPORTS = "said says say called calls wrote writes claimed claims quoted quote reported reports told sagte schrieb nannte dit écrit appelé dijo escribió llamó"
@@ -58,69 +63,95 @@ CLAUSE_END = re.compile(r"[.!?;\n]+")
 
 @dataclass
 class Transducer:
-    """arcs: (state, sign) -> (next state, sign out). A sign without an arc passes unchanged, and the state goes on by
-    `passing` (default: it stays)."""
+    """arcs: (state, sign) -> (next state, sign out, weight). A sign without an arc passes unchanged with weight 1, and the
+    state goes on by `passing` (default: it stays)."""
 
     start: str
-    arcs: dict[tuple[str, str], tuple[str, str]]
+    arcs: dict[tuple[str, str], tuple[str, str, float]]
     passing: dict[str, str] = field(default_factory=dict)
 
-    def step(self, state: str, sign: str) -> tuple[str, str]:
-        return self.arcs.get((state, sign)) or (self.passing.get(state, state), sign)
+    def step(self, state: str, sign: str) -> tuple[str, str, float]:
+        return self.arcs.get((state, sign)) or (self.passing.get(state, state), sign, 1.0)
+
+
+class Insult:
+    """The transducer of one state whose arcs are the lexicon's words, and all words that begin as its beginnings do."""
+
+    start = ""
+
+    def __init__(self, insult: Callable[[str], float | None]) -> None:
+        self.insult = insult
+
+    def step(self, state: str, word: str) -> tuple[str, str, float]:
+        weight = self.insult(word)
+        return (state, FIXED.get(word, word), 1.0) if weight is None else (state, "insult", weight)
 
 
 class Composed:
-    """Transducers in a row: what leaves one enters the next. Product states are made when first reached."""
+    """Transducers in a row: what leaves one enters the next, the weights multiply. Product states are made when first reached."""
 
-    def __init__(self, *machines: Transducer) -> None:
+    def __init__(self, *machines: Transducer | Insult) -> None:
         self.machines, self.known = machines, {}
         self.start = tuple(m.start for m in machines)
 
-    def step(self, state: tuple[str, ...], sign: str) -> tuple[tuple[str, ...], str]:
+    def step(self, state: tuple[str, ...], sign: str) -> tuple[tuple[str, ...], str, float]:
         if (found := self.known.get((state, sign))) is None:
-            out, after = sign, []
+            out, after, weight = sign, [], 1.0
             for machine, s in zip(self.machines, state, strict=True):
-                s, out = machine.step(s, out)
+                s, out, w = machine.step(s, out)
                 after.append(s)
-            found = self.known[state, sign] = tuple(after), out
+                weight *= w
+            if len(self.known) >= MAX_KNOWN:
+                self.known.clear()
+            found = self.known[state, sign] = tuple(after), out, weight
         return found
 
-    def run(self, signs: list[str]) -> list[str]:
+    def run(self, signs: list[str]) -> list[tuple[str, float]]:
         state, out = self.start, []
         for sign in signs:
-            state, left = self.step(state, sign)
-            out.append(left)
+            state, left, weight = self.step(state, sign)
+            out.append((left, weight))
         return out
 
 
+# Fixed weights of the grammar.
+INTENDED, NEGATED, REPORTED, AIMED = 1.5, 0.25, 0.4, 1.5
+KINDS = ("insult", "threat")
+THREAT = Transducer(
+    "calm",
+    {(s, w): ("calm", "threat", 1.0 if s == "calm" else INTENDED) for s in ("calm", "3", "2", "1") for w in THREATS.split()}
+    | {(s, w): ("3", w, 1.0) for s in ("calm", "3", "2", "1") for w in INTENTS.split()},
+    {"3": "2", "2": "1", "1": "calm"},
+)
 NEGATION = Transducer(
     "free",
-    {(s, "negation"): ("3", "negation") for s in ("free", "3", "2", "1")}
-    | {(s, kind): ("free", f"negated {kind}") for s in ("3", "2", "1") for kind in ("insult", "threat")},
+    {(s, "negation"): ("3", "negation", 1.0) for s in ("free", "3", "2", "1")}
+    | {(s, kind): ("free", f"negated {kind}", NEGATED) for s in ("3", "2", "1") for kind in KINDS},
     {"3": "2", "2": "1", "1": "free"},
 )
 REPORT = Transducer(
     "own",
-    {("own", "report"): ("told", "report"), ("own", "quote"): ("quoted", "quote"), ("told", "quote"): ("quoted", "quote"), ("quoted", "quote"): ("own", "quote")}
-    | {(s, kind): (s, f"reported {kind}") for s in ("told", "quoted") for kind in ("insult", "threat")},
+    {("own", "report"): ("told", "report", 1.0), ("own", "quote"): ("quoted", "quote", 1.0), ("told", "quote"): ("quoted", "quote", 1.0)}
+    | {("quoted", "quote"): ("own", "quote", 1.0)}
+    | {(s, kind): (s, f"reported {kind}", REPORTED) for s in ("told", "quoted") for kind in KINDS},
 )
 TARGET = Transducer(
     "nobody",
-    {("nobody", "target"): ("somebody", "target"), ("insulted", "target"): ("somebody", "aimed insult"), ("threatened", "target"): ("somebody", "aimed threat")}
-    | {("nobody", "insult"): ("insulted", "insult"), ("nobody", "threat"): ("threatened", "threat")}
-    | {("somebody", kind): ("somebody", f"aimed {kind}") for kind in ("insult", "threat")},
+    {("nobody", "target"): ("somebody", "target", 1.0), ("insulted", "target"): ("somebody", "aimed insult", AIMED), ("threatened", "target"): ("somebody", "aimed threat", AIMED)}
+    | {("nobody", "insult"): ("insulted", "insult", 1.0), ("nobody", "threat"): ("threatened", "threat", 1.0)}
+    | {("somebody", kind): ("somebody", f"aimed {kind}", AIMED) for kind in KINDS},
 )
-GRAMMAR = (NEGATION, REPORT, TARGET)
+GRAMMAR = (THREAT, NEGATION, REPORT, TARGET)
 OUTPUTS = [f"{how}{kind}" for kind in ("insult", "threat") for how in ("", "aimed ", "negated ", "reported ")]
 # Prior of the logistic layer: for each output, then distinct insults, then the strongest insult; the intercept is last.
 PRIOR = np.array([1.0, 1.2, 0.3, 0.3, 0.2, 1.0, 0.0, 0.0, 0.5, 0.4, -4.0])
 FIXED = (
-    {w: "threat" for w in THREATS.split()}
-    | {w: "target" for w in TARGETS.split()}
+    {w: "target" for w in TARGETS.split()}
     | {w: "negation" for w in NEGATIONS.split()}
     | {w: "report" for w in REPORTS.split()}
     | dict.fromkeys('"“”„«»', "quote")
 )
+VERBS = {*THREATS.split(), *INTENTS.split()}
 
 
 @dataclass
@@ -147,11 +178,14 @@ class ToxicityModel:
                 found = x if found is None else max(found, x)
         return found
 
+    def _known(self, token: str) -> bool:
+        return token in FIXED or token in VERBS or self.insult(token) is not None
+
     def features(self, text: str) -> np.ndarray:
         import ahocorasick
 
         if self._finder is None:
-            self._machine, self._finder = Composed(*GRAMMAR), ahocorasick.Automaton()
+            self._machine, self._finder = Composed(Insult(self.insult), *GRAMMAR), ahocorasick.Automaton()
             for w in {*self.words, *self.prefixes, *THREATS.split()}:
                 self._finder.add_word(w, len(w))
             self._finder.make_automaton()
@@ -166,14 +200,13 @@ class ToxicityModel:
         terms: dict[str, float] = {}
         for k in sorted({bisect_right(ends, s) for s in hits}):
             tokens = SIGN.findall(low[bounds[k] : bounds[k + 1]])
-            strength = [self.insult(t) for t in tokens]
-            terms |= {t: w for t, w in zip(tokens, strength, strict=True) if w is not None}
-            signs = ["insult" if w is not None else FIXED.get(t, "other") for t, w in zip(tokens, strength, strict=True)]
             last = 1.0
-            for sign, w in zip(self._machine.run(signs), strength, strict=True):
-                last = w or last
+            for token, (sign, weight) in zip(tokens, self._machine.run([t if self._known(t) else "other" for t in tokens]), strict=True):
+                if (w := self.insult(token)) is not None:
+                    terms[token] = last = w
                 if sign in _AT:
-                    out[_AT[sign]] += last if sign.endswith("insult") else 1.0
+                    # A target that follows an insult stands for it, with the insult's weight.
+                    out[_AT[sign]] += weight * last if sign == "aimed insult" and w is None else weight
         n = len(OUTPUTS)
         out[:n] = np.log1p(out[:n])
         out[n], out[n + 1] = math.log1p(len(terms)), max(terms.values(), default=0.0)
@@ -207,14 +240,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     )
     n = usable.count()
+    # A hash keeps about TRAIN_ROWS ids, so the broadcast is bounded.
     few = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, TRAIN_ROWS / max(n, 1)))
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(few.limit(2 * TRAIN_ROWS)), "doc_id")
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id")
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"key": [copy_key(t) for t in b["text"]], "toxic": b["toxic"], "text": b["text"]})
 
-    once = rows.mapInPandas(keyed, "key string, toxic int, text string").dropDuplicates(["key", "toxic"])
+    once = rows.mapInPandas(keyed, "key string, toxic int, text string").groupBy("key", "toxic").agg(F.min("text").alias("text"))
     return stored(once.select("toxic", "text"), "toxicity-sample")
 
 

@@ -48,7 +48,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn), _by_turn).alias("t"))
+    chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
     last = F.size("t") - 1
     role_at = lambda i: F.get(F.col("t"), i)["role"]
     # Three segments for each turn: what opens it, its text, what closes it. An adjacent turn of the same role shares the block.
@@ -76,17 +76,6 @@ def _segment(text: Column, loss: Column) -> Column:
     return F.struct(text.alias("text"), loss.alias("loss"))
 
 
-def _by_turn(a: Column, b: Column) -> Column:
-    """Compares turn (null first), role, text."""
-    out = F.lit(0)
-    for name in ("text", "role"):
-        out = F.when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(out)
-    x, y = a["turn"], b["turn"]
-    return (
-        F.when(x.isNull() & y.isNotNull(), -1).when(x.isNotNull() & y.isNull(), 1).when(x < y, -1).when(x > y, 1).otherwise(out)
-    )
-
-
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted string, in order, as array<struct<role, text>>."""
     blocks = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda b: b != "")

@@ -1,24 +1,29 @@
 """HTML extraction with a site style tree.
 
-Each page is parsed to blocks: runs of text between block-level tags, each with the path of its element (tags and
-classes). A path has a role: boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments), article, or neither.
-
-The pages of a host are merged to its style tree: for each element node (host, path) the distribution of contents over
-all its blocks, kept as counts. A node's importance is the normalised entropy of that distribution: 1 where every page
-says something else, 0 where all say the same. A content node is a content at a path; its weight is the share of the
-host's pages that carry it. From each page are removed:
-
-* boilerplate branches, by role;
-* on hosts of at least LEAST_PAGES pages, of the blocks that aren't in an article: element nodes of importance under
-  LEAST_IMPORTANCE, and contents that at least COMMON_SHARE of the host's pages carry.
-
-If a page has an article, only its blocks remain. If the tree would remove all that roles left, it removes nothing from
-that page. The tree's low nodes are a table with a row for each host; it is broadcast while it has at most MAX_HOSTS
-rows and joined by host beyond that.
+Each page is parsed to blocks: runs of text between block-level tags, each with the chain of elements (tags and classes)
+around it. The pages of a host are merged to its style tree, kept as counts:
+
+* presentation nodes: an element at a path, with the distribution of its styles (the sequence of what it holds) over the
+  host's pages;
+* content nodes: an element that holds text itself, with the distribution of its texts, and each common text in it.
+
+Importance is from 0 to 1. An element's own importance is the normalised entropy of its distribution: 1 where every page
+differs, 0 where all agree, drawn towards 1 by PRIOR_PAGES imagined pages, so that few pages prove nothing: on a small host
+what its pages hold alike stays, and the labels below decide alone. The role that tags and class words give a block labels
+its content node and is its prior: boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, reader
+comments, and on pages with an article all that is outside of it) has importance 0, articles have 1 (near copies of one
+article may be a host's only pages), for all others the entropy counts. A branch's importance is composed from its children:
+INNER times the greatest importance in it plus the rest times its own presentation's; 0 if all in it is boilerplate. From
+each page are removed the topmost branches of importance under LEAST_IMPORTANCE, and texts that are on at least COMMON_SHARE
+of the host's pages (and PRIOR_PAGES more) in the same node, unless it is an article's. If the tree would remove all that
+isn't boilerplate, that stays.
+
+The tree's low nodes are a table with a row for each host, broadcast while it has at most MAX_HOSTS rows and MAX_NODES nodes
+and joined by host beyond that. The texts of scripts, styles, templates and the like are no text of the page.
 
 Nulls: null html is empty and gives an empty text; a null url belongs to the empty host. Broken markup is read leniently:
-unclosed elements end with their parents. Repeated rows are each extracted. Other columns are ignored.
+unclosed elements end with their parents. Very long pages are read whole, a page at a time. Ties don't arise; repeated rows
+are each extracted (and counted). An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +40,13 @@ from pyspark.sql import functions as F
 from textgate.llm.common import stored, table
 from textgate.llm.url_filter import with_parts
 
-LEAST_PAGES = 20
+PRIOR_PAGES = 4
+INNER = 0.9
 LEAST_IMPORTANCE = 0.2
 COMMON_SHARE = 0.8
 MAX_HOSTS = 20_000
+MAX_NODES = 500_000
+BRANCH = -1  # no null, which would make pandas round the other keys
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -48,6 +56,7 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 LETTERS = re.compile(r"[a-z]+")
+DIGITS = re.compile(r"\d+")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript template iframe textarea svg object canvas select title xmp noembed noframes annotation annotation-xml".split())
@@ -121,9 +130,17 @@ def _zone(tag: str, rest: str, zone: int, by_words: bool = True) -> tuple[int, s
     return zone, classes
 
 
-def blocks(page: str, by_words: bool = True) -> list[tuple[int, str, bool]]:
-    """(path, text, whether in an article) of each block that its role doesn't remove."""
-    out: list[tuple[int, str, bool]] = []
+def _child(path: int, what: str) -> int:
+    """Key of a node below that of path."""
+    return ((path ^ crc32(what.encode("utf-8", "replace"))) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) >> 1 & (1 << 62) - 1
+
+
+Block = tuple[tuple[int, ...], int, str]
+
+
+def blocks(page: str, by_words: bool = True) -> list[Block]:
+    """(paths of the elements around it from the outermost on, zone, text) of each block."""
+    out: list[Block] = []
     pieces: list[str] = []
     stack: list[tuple[str, int, int]] = [("", OPEN, 0)]
     at, size = 0, len(page)
@@ -133,24 +150,19 @@ def blocks(page: str, by_words: bool = True) -> list[tuple[int, str, bool]]:
             text = " ".join(references.unescape("".join(pieces)).split())
             pieces.clear()
             if text:
-                # The block's path is that of the innermost element that isn't inline.
-                for tag, zone, path in reversed(stack):
-                    if tag not in INLINE:
-                        break
-                out.append((path, text, stack[-1][1] == ARTICLE))
+                out.append((tuple(path for tag, _, path in stack if tag not in INLINE), stack[-1][1], text))
 
     while at < size:
         m = TAG.search(page, at)
         if m is None:
-            if stack[-1][1] < SHUT:
-                pieces.append(page[at:])
+            pieces.append(page[at:])
             break
-        if m.start() > at and stack[-1][1] < SHUT:
+        if m.start() > at:
             pieces.append(page[at : m.start()])
         at = m.end()
         name = m["name"] or m["name2"]
         if name is None:
-            if m["data"] and stack[-1][1] < SHUT:
+            if m["data"]:
                 pieces.append(m["data"].replace("&", "&amp;"))
             continue
         name = name.lower()
@@ -193,7 +205,8 @@ def blocks(page: str, by_words: bool = True) -> list[tuple[int, str, bool]]:
         zone, classes = (SHUT_FOR_GOOD, "") if unclosed else _zone(name, rest, before[1], by_words)
         if zone != before[1]:
             flush()
-        stack.append((name, zone, before[2] if inline else crc32(f"{name}.{classes}".encode("utf-8", "replace"), before[2])))
+        # Numbers in classes and ids tell elements of one kind apart, so they don't count.
+        stack.append((name, zone, before[2] if inline else _child(before[2], f"{name}.{DIGITS.sub('', classes)}")))
     flush()
     return out
 
@@ -207,10 +220,27 @@ def _close(stack: list[tuple[str, int, int]], names: set[str], scope: set[str])
             return
 
 
-def candidates(page: str | None) -> list[tuple[int, str, bool]]:
+BOILERPLATE, UNDECIDED, MAIN = range(3)
+
+
+def labelled(page: str | None) -> list[tuple[tuple[int, ...], int, str]]:
+    """(chain, label, text) of each block; the chain ends with the content node."""
     found = blocks(page or "")
-    # A page without any text may have its article in a branch that a class word closed.
-    return [b for b in found if b[2]] or found or [b for b in blocks(page or "", by_words=False) if b[2]]
+    if not any(zone < SHUT for _, zone, _ in found):
+        # Without any text the page may have its article in a branch that a class word closed.
+        found = blocks(page or "", by_words=False)
+        found = [(chain, zone if zone == ARTICLE else SHUT, text) for chain, zone, text in found]
+    has_article = any(zone == ARTICLE for _, zone, _ in found)
+    out = []
+    for chain, zone, text in found:
+        label = MAIN if zone == ARTICLE else BOILERPLATE if zone >= SHUT or has_article else UNDECIDED
+        out.append(((*chain, _child(chain[-1], f"text.{label}")), label, text))
+    return out
+
+
+def candidates(page: str | None) -> list[tuple[int, str, bool]]:
+    """(content node, text, whether in an article) of the blocks that aren't labelled boilerplate."""
+    return [(chain[-1], text, label == MAIN) for chain, label, text in labelled(page) if label != BOILERPLATE]
 
 
 def _content(text: str) -> int:
@@ -218,48 +248,64 @@ def _content(text: str) -> int:
     return crc32(raw) << 31 | crc32(raw[::-1]) >> 1
 
 
+def _nodes(page: str | None) -> set[tuple]:
+    """(path, style or text, chain above, label) of the page's nodes; presentation nodes have no label."""
+    out: set[tuple] = set()
+    holds: dict[tuple[int, ...], list[int]] = {}
+    for chain, label, text in labelled(page):
+        out.add((chain[-1], _content(text), chain[:-1], label))
+        for k in range(len(chain) - 1):
+            inside = holds.setdefault(chain[: k + 1], [])
+            if not inside or inside[-1] != chain[k + 1]:
+                inside.append(chain[k + 1])
+    out.update((chain[-1], crc32(repr(inside).encode()), chain[:-1], None) for chain, inside in holds.items())
+    return out
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
-    """pages (host, html) -> host, low: array<struct<path, content>> of what the tree removes; content null: the node."""
+    """pages (host, html) -> host, low: array<struct<path, content>> of what the tree removes; content BRANCH: all of it."""
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for host, page in zip(b["host"], b["html"], strict=True):
-                out += [(host, *x) for x in {(p, _content(t), a) for p, t, a in candidates(page)}]
-            yield pd.DataFrame(out, columns=["host", "path", "content", "article"])
+                out += [(host, path, style, list(above), label) for path, style, above, label in _nodes(page)]
+            frame = pd.DataFrame(out, columns=["host", "path", "style", "above", "label"])
+            yield frame.astype({"label": "Int32"})
 
-    hosts = pages.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= LEAST_PAGES)
+    hosts = pages.groupBy("host").agg(F.count("*").alias("pages"))
     counts = (
-        pages.mapInPandas(nodes, "host string, path long, content long, article boolean")
-        .groupBy("host", "path", "content", "article")
-        .agg(F.count("*").alias("n"))
+        pages.mapInPandas(nodes, "host string, path long, style long, above array<long>, label int")
+        .groupBy("host", "path", "style")
+        .agg(F.count("*").alias("n"), F.min("above").alias("above"), F.min("label").alias("label"))
     )
     counts = stored(counts, "style-tree")
     m, spread = F.sum("n"), F.sum(F.col("n") * F.log2("n"))
-    elements = (
-        counts.groupBy("host", "path", "article")
-        .agg(m.alias("m"), F.when(m > 1, (F.log2(m) - spread / m) / F.log2(m)).otherwise(1.0).alias("importance"))
-        .filter(~F.col("article") & (F.col("importance") < LEAST_IMPORTANCE) & (F.col("m") >= LEAST_PAGES))
-        .select("host", "path", F.lit(None).cast("long").alias("content"))
-    )
-    # Rarer contents can't be common on a host of LEAST_PAGES pages, so most rows of a large host stay where they are.
-    # What many pages say in their articles is kept: they may be near copies of one article.
-    frequent = counts.filter(~F.col("article") & (F.col("n") >= COMMON_SHARE * LEAST_PAGES))
-    common = frequent.join(hosts, "host").filter(F.col("n") >= COMMON_SHARE * F.col("pages")).select("host", "path", "content")
-    # A host has at most (blocks of a page / COMMON_SHARE) common contents, and as many nodes as its pages have paths.
-    return (
-        elements.join(hosts.select("host"), "host", "left_semi")
-        .unionByName(common)
-        .groupBy("host")
-        .agg(F.collect_set(F.struct("path", "content")).alias("low"))
+    entropy = F.when(m > 1, (F.log2(m) - spread / m) / F.log2(m)).otherwise(1.0)
+    each = counts.groupBy("host", "path").agg(
+        F.min("above").alias("above"), F.min("label").alias("label"), ((m * entropy + PRIOR_PAGES) / (m + PRIOR_PAGES)).alias("own")
     )
+    each = stored(each, "style-tree-nodes")
+    leaf = F.when(F.col("label") == BOILERPLATE, 0.0).when(F.col("label") == MAIN, 1.0).otherwise(F.col("own"))
+    leaves = each.filter("label is not null").select("host", leaf.alias("importance"), F.explode(F.concat("above", F.array("path"))).alias("path"))
+    best = leaves.groupBy("host", "path").agg(F.max("importance").alias("best"))
+    composed = F.when(F.col("label").isNotNull() | (F.col("best") == 0), F.col("best")).otherwise(INNER * F.col("best") + (1 - INNER) * F.col("own"))
+    low = each.join(best, ["host", "path"]).filter(composed < LEAST_IMPORTANCE).select("host", "path", F.element_at(F.concat(F.array(F.lit(0).cast("long")), "above"), -1).alias("parent"))
+    low = stored(low, "style-tree-branches")
+    topmost = low.join(low.select("host", F.col("path").alias("parent")), ["host", "parent"], "left_anti")
+    # What is on few pages can't be common on a host of at least PRIOR_PAGES / COMMON_SHARE pages, so most rows stay where they are.
+    frequent = counts.filter((F.col("label") == UNDECIDED) & (F.col("n") > PRIOR_PAGES))
+    common = frequent.join(hosts, "host").filter(F.col("n") >= COMMON_SHARE * (F.col("pages") + PRIOR_PAGES))
+    rows = topmost.select("host", "path", F.lit(BRANCH).cast("long").alias("content")).unionByName(common.select("host", "path", F.col("style").alias("content")))
+    return rows.groupBy("host").agg(F.collect_set(F.struct("path", "content")).alias("low"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_blocks, n_removed."""
     pages = with_parts(pages.select("page_id", "url", "html")).select("page_id", "url", "host", "html")
     tree = stored(style_tree(pages), "style-tree-low")
-    small = tree.count() <= MAX_HOSTS
+    n_hosts, n_nodes = tree.agg(F.count("*"), F.coalesce(F.sum(F.size("low")), F.lit(0))).first()
+    small = n_hosts <= MAX_HOSTS and n_nodes <= MAX_NODES
     joined = pages.join(F.broadcast(tree) if small else tree, "host", "left")
     id_type = pages.schema["page_id"].dataType.simpleString()
 
@@ -267,12 +313,11 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for page_id, url, page, low in zip(b["page_id"], b["url"], b["html"], b["low"], strict=True):
-                found = candidates(page)
-                left = found
-                if low is not None and len(low):
-                    gone = {(x["path"], x["content"]) for x in low}
-                    left = [x for x in found if x[2] or ((x[0], None) not in gone and (x[0], _content(x[1])) not in gone)] or found
-                out.append((page_id, url, " ".join(t for _, t, _ in left), len(found), len(found) - len(left)))
+                found = labelled(page)
+                gone = {(x["path"], x["content"]) for x in low} if low is not None else set()
+                left = [x for x in found if not any((path, BRANCH) in gone for path in x[0]) and (x[0][-1], _content(x[2])) not in gone]
+                left = left or [x for x in found if x[1] != BOILERPLATE]
+                out.append((page_id, url, " ".join(text for _, _, text in left), len(found), len(found) - len(left)))
             yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_blocks", "n_removed"])
 
     return joined.select("page_id", "url", "html", "low").mapInPandas(

@@ -121,7 +121,19 @@ def test_decontamination(spark, few, monkeypatch):
     got = sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got.collect()), key=str)
     assert got == sorted(plain_contamination(rows, items), key=str)
     assert decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench.limit(0)).filter("n_hit > 0").count() == 0
-    assert decontaminate.without_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).count() == 5
+    kept = decontaminate.without_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 6]
+
+
+def test_one_window_in_a_long_document_is_enough(spark):
+    item = prose(21, 30)
+    passage = " ".join(item.split()[7:20])
+    rows = [(1, f"{prose(22, 1000)} {passage} {prose(23, 1000)}"), (2, f"{prose(22, 1000)} {' '.join(passage.split()[:12])} {prose(23, 1000)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id int, text string")
+    found = {r.doc_id: (r.n_hit, r.contaminated) for r in decontaminate.contamination(docs, bench).collect()}
+    assert found == {1: (13, False), 2: (0, False)}
+    assert [r.doc_id for r in decontaminate.without_contaminated(docs, bench).collect()] == [2]
 
 
 def test_proximity_matches(spark):
@@ -147,8 +159,11 @@ def test_bpe_equals_tiktoken(spark):
 
 def plain_signatures(text):
     w, anchors, out = words_of(text), set(spotsigs.ANCHORS), set()
+    common = [i for i in range(len(w) + 1) if i == 0 or w[i - 1] in anchors]
+    # Every word of a stretch of SPAN words or more without a common one is an anchor too.
+    rare = [i for at, then in zip(common, [*common[1:], len(w) + 1], strict=True) if then - at > spotsigs.SPAN for i in range(at + 1, then)]
     for i in range(len(w) + 1):
-        if i == 0 or w[i - 1] in anchors:
+        if i in {*common, *rare}:
             chain_ = [x for x in w[i : i + spotsigs.SPAN] if x not in anchors][: spotsigs.CHAIN]
             if chain_:
                 out.add((w[i - 1] if i else "", *chain_))

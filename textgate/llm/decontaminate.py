@@ -64,7 +64,9 @@ def indexed_windows(docs: DataFrame, windows_of: DataFrame) -> DataFrame:
     some = [r["term"] for r in terms.limit(MAX_LITERAL + 1).collect()]
     words = docs.select(F.explode("words").alias("term"))
     few = words.filter(_among("term", some)) if len(some) <= MAX_LITERAL else words.join(terms, "term", "left_semi")
-    counts = few.groupBy("term").agg(F.count("*").alias("n"))
+    # A row for each term of the benchmark. Broadcast, so that a term of many windows is no hot key.
+    counts = stored(few.groupBy("term").agg(F.count("*").alias("n")), "benchmark-counts")
+    counts = F.broadcast(counts) if len(some) <= MAX_LITERAL else counts
     by_rarity = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "at")))
     return (
         windows_of.select("item_id", "window", F.posexplode("window").alias("at", "term"))
@@ -150,8 +152,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated rows; all columns stay."""
-    bad = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
+    """docs without the rows that hold any window of the benchmark, however long they are; all columns stay."""
+    bad = contamination(docs, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct()
     bad = stored(bad, "contaminated")
     small = bad.count() <= MAX_BROADCAST
     keyed = docs.withColumn("_doc_row", F.xxhash64("doc_id", "text"))

@@ -2,9 +2,10 @@
 
 A url's tokens are its scheme, the labels and the last two labels of its host, its path segments, its file extension and
 the names of its query parameters. Urls that an explicit rule judges are the labelled transactions: their tokens and
-their verdict go into Spark's FP-growth. Of the association rules with a verdict as consequent stay those of at least
-MIN_SUPPORT, MIN_CONFIDENCE, lift above 1 and at most MAX_TOKENS tokens, and of these only such that no rule with fewer
-of the same tokens is as confident.
+their verdict go into Spark's FP-growth. Tokens on the very same transactions are one item, named by the first of them, so
+that tokens that always occur together don't multiply the itemsets. Of the association rules with a verdict as consequent
+stay those of at least MIN_SUPPORT and of MIN_ROWS transactions, MIN_CONFIDENCE, lift above 1 and at most MAX_TOKENS tokens,
+and of these only such that no rule with fewer of the same tokens is as confident.
 
 Rules are matched by an inverted index, token -> rules that ask for it: a rule matches when all its tokens were found.
 While there are at most MAX_LITERAL rules the index is a literal map and no row moves; beyond that it is a table, joined
@@ -12,7 +13,8 @@ by token. Both ways give the same verdicts. Where no explicit rule fits, the mos
 before block at a tie; where none matches the url is allowed.
 
 Nulls: a url that is null or without `://` has an empty host and path, no tokens, and is allowed by the method. Without
-labelled urls there are no mined rules. Repeated rows are each judged. Other columns are ignored.
+labelled urls there are no mined rules. Repeated rows are each judged. Rules of equal confidence tie: allow wins. A very long
+url is one row like any other. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from textgate.llm.common import LOWER, UPPER, stored, table
 
 MIN_SUPPORT = 0.01
+MIN_ROWS = 20
 MIN_CONFIDENCE = 0.8
 MAX_TOKENS = 3
 MAX_LITERAL = 256
@@ -75,10 +78,19 @@ def tokens_of() -> Column:
 
 def mine(labelled: DataFrame) -> list[Mined]:
     """labelled (tokens, verdict) -> pruned association rules."""
-    if labelled.isEmpty():
+    n = labelled.count()
+    if n < MIN_ROWS:
         return []
-    items = labelled.select(F.array_append("tokens", F.concat(F.lit("verdict:"), "verdict")).alias("items"))
-    model = FPGrowth(minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(items)
+    least = max(MIN_SUPPORT, MIN_ROWS / n)
+    # Two digests of the transactions that hold a token tell tokens of equal transactions.
+    rows = labelled.select(F.xxhash64("tokens").alias("row"), F.explode("tokens").alias("token"))
+    part = lambda seed: F.sum(F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1 << 30)))
+    held = rows.groupBy("token").agg(F.count("*").alias("n"), part(1).alias("x"), part(2).alias("y")).filter(F.col("n") >= least * n)
+    # At most (a url's tokens / MIN_SUPPORT) tokens are frequent enough.
+    items_of = sorted(r["token"] for r in held.groupBy("n", "x", "y").agg(F.min("token").alias("token")).collect())
+    frequent = F.array_intersect("tokens", F.array(*map(F.lit, items_of)) if items_of else F.array().cast("array<string>"))
+    items = labelled.select(F.array_append(frequent, F.concat(F.lit("verdict:"), "verdict")).alias("items"))
+    model = FPGrowth(minSupport=least, minConfidence=MIN_CONFIDENCE).fit(items)
     found = model.associationRules.filter(
         F.col("consequent")[0].isin([f"verdict:{v}" for v in VERDICTS]) & (F.size("antecedent") <= MAX_TOKENS) & (F.col("lift") > 1)
     )

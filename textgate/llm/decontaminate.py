@@ -4,17 +4,20 @@ Words are runs of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` of the text with A-Z lower-ca
 of a benchmark item; an item of fewer words, but not none, is one window.
 
 1. The terms of the benchmark are counted over all training words (map-side sums; one row for each term).
-2. Each window's terms are ordered from the rarest on; the rarest is its anchor.
-3. The index stores a posting (document, position, the words around) for each training word that is an anchor. Postings
-   meet the windows by their anchor, and the lists of the other terms are intersected offset by offset, the rarest first,
-   within the words around. With slop > 0 a term may lie that many places off: a proximity match.
-4. The matches of a document are merged: its words inside any match are hit.
+2. Each window's terms are ordered from the rarest on; windows with a term that no training word has can't occur.
+3. The index stores a posting (document, position) for each training word that is among the DEPTH rarest terms of a window.
+4. A window's occurrences are looked for from its rarest term on: each posting of that gives a place where the window would
+   begin. That list is intersected with the postings of the next rarer terms, adjusted by their offset in the window. With
+   slop > 0 a term may lie that many places off: a proximity match.
+5. The few places that are left are compared word by word, which settles the frequent terms: their postings would be as
+   large as the texts. The matches of a document are merged: its words inside any match are hit.
 
 The windows are broadcast while there are at most MAX_BROADCAST of them; beyond that they are joined by shuffling on the
-anchor. Terms are literals while there are at most MAX_LITERAL; beyond that they are a table.
+rarest term. Terms are literals while there are at most MAX_LITERAL; beyond that they are a table.
 
 Nulls: null or empty texts have no words; such items have no window. Repeated rows are each reported. A null item_id is
-reported as the string `null`. An empty benchmark hits nothing; empty documents give no rows. Other columns are ignored.
+reported as the string `null`. Terms of equal count tie by the term, then by their place. Very long texts are taken whole. An
+empty benchmark hits nothing; empty documents give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 from textgate.llm.common import ascii_lower, stored, table
 
 WINDOW = 13
+DEPTH = 3
 MAX_BROADCAST = 50_000
 MAX_LITERAL = 20_000
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -74,59 +78,66 @@ def indexed_windows(docs: DataFrame, windows_of: DataFrame) -> DataFrame:
         .groupBy("item_id", "window")
         .agg(by_rarity.alias("terms"))
         .select(
+            F.xxhash64("item_id", "window").alias("w"),
             "item_id",
-            F.size("window").alias("length"),
+            "window",
             F.get("terms", F.lit(0))["term"].alias("anchor"),
             F.get("terms", F.lit(0))["at"].alias("anchor_at"),
             "terms",
         )
-        # A window with a term that the training words lack can't occur exactly.
+        .filter(F.get("terms", F.lit(0))["n"] > 0)
     )
 
 
+def postings(read: DataFrame, index: DataFrame) -> DataFrame:
+    """doc_id, row, n_words, pos, term: a posting for each word that is among the DEPTH rarest terms of a window, and a row of
+    position -1 for each document; stored."""
+    terms = index.select(F.explode(F.slice("terms", 1, DEPTH)).alias("t")).select(F.col("t.term").alias("term")).distinct()
+    known = [r["term"] for r in terms.limit(MAX_LITERAL + 1).collect()]
+    places = "sequence(0, greatest(size(words) - 1, 0))"
+    if few := len(known) <= MAX_LITERAL:
+        places = f"filter({places}, i -> {_among('get(words, i)', known)})"
+    place = lambda i: F.struct(i.alias("pos"), F.get("words", i).alias("term"))
+    document = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("term")))
+    found = F.coalesce(F.transform(F.expr(places), place), F.array().cast("array<struct<pos:int,term:string>>"))
+    rows = read.select("doc_id", "row", n_words(F.col("words")).alias("n_words"), F.explode(F.concat(document, found)).alias("p")).select("doc_id", "row", "n_words", "p.*")
+    if not few:
+        rows = rows.filter("pos < 0").unionByName(rows.filter("pos >= 0").join(terms, "term", "left_semi"))
+    return stored(rows, "benchmark-postings")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: int = 0) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_words, row (hash of doc_id and text), anchor, item_id, start, length.
+    """docs (doc_id, text) -> doc_id, n_words, row (hash of doc_id and text), item_id, start, length.
 
     A row for each match, and one with null item_id for each document row."""
     read = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), split_words(F.col("text")).alias("words"))
     index = stored(indexed_windows(read, windows(benchmark, length)), "benchmark-windows")
-    n_windows = index.count()
-    anchors = index.select("anchor").distinct()
-    around = length - 1 + slop
-    first = lambda i: F.greatest(i - around, F.lit(0))
-    posting = lambda i, w: F.struct(
-        i.alias("pos"), w.alias("term"), F.slice("words", first(i) + 1, F.lit(2 * around + 1)).alias("near")
-    )
-    document = F.struct(F.lit(-1).alias("pos"), F.lit("").alias("term"), F.array().cast("array<string>").alias("near"))
-    places = "sequence(0, greatest(size(words) - 1, 0))"
-    if n_windows <= MAX_BROADCAST:
-        known = [r["anchor"] for r in anchors.collect()]
-        of_anchors = F.expr(f"filter({places}, i -> {_among('get(words, i)', known)})")
-    else:
-        of_anchors = F.expr(places)
-    postings = F.transform(of_anchors, lambda i: posting(i, F.get("words", i)))
-    rows = read.select(
-        "doc_id",
-        "row",
-        n_words(F.col("words")).alias("n_words"),
-        F.explode(F.concat(F.array(document), F.coalesce(postings, F.array().cast(postings_type())))).alias("p"),
-    ).select("doc_id", "row", "n_words", "p.*")
-    joined = rows.join(F.broadcast(index) if n_windows <= MAX_BROADCAST else index, rows["term"] == index["anchor"], "left")
-    start = F.col("pos") - F.col("anchor_at")
-    in_near = start - first(F.col("pos"))
-    at = lambda t, off=0: F.when(in_near + t["at"] + off >= 0, F.get("near", in_near + t["at"] + off))
-    if slop:
-        fits = lambda t: F.exists(F.sequence(F.lit(-slop), F.lit(slop)), lambda d: F.coalesce(at(t, d) == t["term"], F.lit(False)))
-        whole = F.lit(True)
-    else:
-        fits, whole = lambda t: F.coalesce(at(t) == t["term"], F.lit(False)), in_near >= 0
-    return joined.filter((F.col("pos") < 0) | (F.col("anchor").isNotNull() & whole & F.forall("terms", fits))).select(
-        "doc_id", "row", "n_words", "item_id", F.when(F.col("item_id").isNotNull(), start).alias("start"), "length"
-    )
-
-
-def postings_type() -> str:
-    return "array<struct<pos:int,term:string,near:array<string>>>"
+    some = lambda t, n, most: F.broadcast(t) if n <= most else t
+    lists = postings(read, index)
+    each = lists.filter("pos >= 0").select("row", "term", "pos")
+    anchored = index.select("w", F.col("anchor").alias("term"), "anchor_at", F.slice("terms", 2, DEPTH - 1).alias("others"))
+    begins = each.join(some(anchored, index.count(), MAX_BROADCAST), "term").select("row", "w", (F.col("pos") - F.col("anchor_at")).alias("start"), "others")
+    begins = begins.filter("start >= 0") if not slop else begins
+    for k in range(DEPTH - 1):
+        other = F.get("others", F.lit(k))
+        places = F.transform(F.sequence(F.lit(-slop), F.lit(slop)), lambda d: F.col("start") + other["at"] + d)  # noqa: B023
+        needed = begins.select("row", "w", "start", "others", other["term"].alias("term"), F.explode(places).alias("pos") if slop else (F.col("start") + other["at"]).alias("pos"))
+        listed = each.select(F.col("row").alias("_row"), F.col("term").alias("_term"), F.col("pos").alias("_pos"))
+        meets = needed.join(listed, (F.col("row") == F.col("_row")) & (F.col("term") == F.col("_term")) & (F.col("pos") == F.col("_pos")), "left_semi")
+        # A window of fewer terms has no such other one.
+        whole = begins.filter(other["term"].isNull())
+        begins = stored(meets.select("row", "w", "start", "others").unionByName(whole.select("row", "w", "start", "others")), "benchmark-begins")
+    spans = begins.select("row", "w", "start").distinct().join(some(index.select("w", "item_id", "window", "terms"), index.count(), MAX_BROADCAST), "w")
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "item_id", F.size("window").alias("length"), "terms")).alias("spans"))
+    spans = stored(spans, "benchmark-spans")
+    word = lambda s, t, off: F.get("words", s["start"] + t["at"] + off)
+    near = lambda s, t: F.exists(F.sequence(F.lit(-slop), F.lit(slop)), lambda off: F.coalesce(word(s, t, off) == t["term"], F.lit(False)))
+    fits = lambda s: F.forall(s["terms"], lambda t: near(s, t) if slop else F.coalesce(word(s, t, 0) == t["term"], F.lit(False)))
+    compared = read.join(some(spans, spans.count(), MAX_BROADCAST // 10), "row")
+    hits = compared.select("doc_id", "row", n_words(F.col("words")).alias("n_words"), F.explode(F.filter("spans", fits)).alias("s"))
+    none = lambda t: F.lit(None).cast(t)
+    every = lists.filter("pos < 0").select("doc_id", "row", "n_words", none("string").alias("item_id"), none("int").alias("start"), none("int").alias("length"))
+    return every.unionByName(hits.select("doc_id", "row", "n_words", "s.item_id", "s.start", "s.length"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -35,6 +35,24 @@ def test_sharding(spark, docs):
     assert sharding.pack_shards(docs.limit(0), 4).count() == 0
 
 
+def test_shards_have_nearly_equal_bytes(spark):
+    rows = [(i, prose(i, 3 + i * i % 90)) for i in range(600)] + [(1000 + i, prose(5, 40)) for i in range(30)] + [(2000 + i, "") for i in range(50)]
+    got = sharding.pack_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 5).collect()
+    sums = Counter()
+    for r in got:
+        sums[r.shard] += r.size
+    assert len(got) == len(rows) and sorted(sums) == list(range(5))
+    assert max(sums.values()) <= 1.01 * min(sums.values())
+
+
+def test_items_of_a_level_are_placed_like_single_ones():
+    items = [(50, 2), (30, 5), (7, 40), (3, 11)]
+    runs = sharding.place(items, 120, 10)
+    one_by_one = sharding.best_fit_decreasing([s for s, c in items for _ in range(c)], 120, 10)
+    counted = [[b for b, n in r for _ in range(n)] for r in runs]
+    assert [sorted(x) for x in counted] == [sorted(one_by_one[:2]), sorted(one_by_one[2:7]), sorted(one_by_one[7:47]), sorted(one_by_one[47:])]
+
+
 def test_best_fit_decreasing_enters_the_tightest_bin():
     assert sharding.best_fit_decreasing([6, 5, 4, 3, 2], 10, 2) == [0, 1, 0, 1, 1]
     assert sharding.best_fit_decreasing([6, 5, 5], 10, 1) is None

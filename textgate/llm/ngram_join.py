@@ -492,3 +492,28 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+                     lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT r, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) END) AS shingle FROM w
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), both_in AS (
+  SELECT x.r AS a, y.r AS b, count(*) AS shared FROM s AS x JOIN s AS y ON x.shingle = y.shingle AND x.r <> y.r GROUP BY ALL
+), link AS (
+  SELECT a, b FROM both_in JOIN n AS na ON na.r = a JOIN n AS nb ON nb.r = b WHERE 100 * shared >= 75 * (na.n + nb.n - shared)
+), reach AS (
+  SELECT r AS a, r AS b FROM n UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), least AS (
+  SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN w ON w.r = reach.b GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN n > 0 THEN component_id ELSE doc_id END AS component_id
+FROM w LEFT JOIN n USING (r) LEFT JOIN least USING (r)
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.SQL, "op7_decontamination": decontaminate.SQL}
+    return {"op3_ngram_jaccard_join": ngram_join.SQL, "op4_chat_formatting": chat.SQL, "op7_decontamination": decontaminate.SQL}

@@ -9,7 +9,11 @@ KEPT, DROPPED = 20, 10  # fixed values: over 20 kept responses the oldest 10 are
 
 
 def pair(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, text) -> conv_id, turn, prompt, response. One shuffle, by conversation."""
+    """turns (conv_id, turn, role, text) -> conv_id, turn, prompt, response. One shuffle, by conversation.
+
+    Its number of partitions is given, so that they aren't joined again by their few bytes: scoring a text, which comes
+    behind it, takes milliseconds."""
+    turns = turns.repartition(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id")
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     prompt = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(before)
     return turns.withColumn("prompt", F.coalesce(prompt, F.lit(""))).filter("role = 'assistant'").select("conv_id", "turn", "prompt", F.col("text").alias("response"))

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textgate.llm.common import table
+from textgate.llm.common import give_back, table
 
 LONG = 512
 MAX_WORDS = 400_000
@@ -217,6 +217,7 @@ def _each(
             texts = ["" if t is None else t for t in batch["text"]]
             for part in _parts(texts):
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part], **make(codec, texts[part])})
+            give_back()
 
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, {schema}")
 

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textgate.llm import shingles
-from textgate.llm.common import scratch, small_batches, stored, table
+from textgate.llm.common import give_back, scratch, small_batches, stored, table
 
 SKETCH_BITS = 22
 BLOCKS = 64
@@ -132,6 +132,7 @@ def classed(docs: DataFrame) -> DataFrame:
             ],
             names=["doc_id", "h", "k", "n", "block", "counts"],
         )
+        give_back()
 
     return stored(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, schema), "shingle-classes")
 
@@ -193,7 +194,7 @@ def packed_tokens(docs: DataFrame, levels: np.ndarray, part_bits: int, frequent_
     def packed(group: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         ks, ns = np.array([g[0] for g in group], np.int64), np.array([g[1] for g in group], np.int32)
         tokens = np.concatenate([g[2] for g in group])
-        owners = np.repeat(np.arange(len(group)), [len(g[2]) for g in group])
+        owners = np.repeat(np.arange(len(group), dtype=np.uint16), [len(g[2]) for g in group])
         level = shipped.value[_cells(tokens)]
         tokens = tokens >> shift << shift
         often = level >= frequent_from
@@ -235,6 +236,8 @@ def packed_tokens(docs: DataFrame, levels: np.ndarray, part_bits: int, frequent_
                         group, size = [], 0
         if group:
             yield packed(group)
+        group = []
+        give_back()
 
     return docs.select("text").mapInArrow(run, PACKED)
 
@@ -274,7 +277,10 @@ def shared_tokens(packed: DataFrame, part_bits: int) -> DataFrame:
             whole = (t[kept] << _U(shift) | _U(int(key[0]) << (64 - part_bits))).view(np.int64)
             for o, x in zip(out, (k[kept], n[kept], whole, np.minimum(count[at][kept], FREQUENT - 1).astype(np.int32)), strict=True):
                 o.append(x)
-        return pd.DataFrame({c: np.concatenate(o) if o else np.zeros(0, np.int64) for c, o in zip(("k", "n", "token", "level"), out, strict=True)})
+        found = pd.DataFrame({c: np.concatenate(o) if o else np.zeros(0, np.int64) for c, o in zip(("k", "n", "token", "level"), out, strict=True)})
+        out = tokens = ks = ns = t = k = n = order = None
+        give_back()
+        return found
 
     return packed.groupBy("part").applyInPandas(shared, "k long, n int, token long, level int")
 
@@ -452,9 +458,11 @@ def _contracted(sets: DataFrame, members: DataFrame) -> DataFrame | None:
 def with_components(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows (doc_id, k, n, ..) -> component_id besides: the smallest doc_id among all rows of the class's component."""
     classes = rows.filter("n > 0").groupBy("k").agg(F.min("doc_id").alias("least")).join(labels, "k", "left")
-    classes = stored(classes.select("k", "least", F.coalesce("c", "k").alias("c")), "shingle-least")
-    least = classes.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = classes.join(least, "c").select("k", "component_id")
+    classes = stored(classes.select("k", "least", "c"), "shingle-least")
+    # Only components of several classes have a label; a row for each of them.
+    of_all = stored(classes.filter("c is not null").groupBy("c").agg(F.min("least").alias("of_all")), "shingle-components")
+    of_all = F.broadcast(of_all) if of_all.count() <= MAX_BROADCAST else of_all
+    named = classes.join(of_all, "c", "left").select("k", F.when(F.col("c").isNull(), F.col("least")).otherwise(F.col("of_all")).alias("component_id"))
     return rows.join(named, "k", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
 

@@ -38,6 +38,16 @@ def test_language_without_anything_to_learn(spark):
     assert langid.identify(empty, langid.train(empty)).count() == 0
 
 
+def test_language_of_a_long_text_in_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = langid.LanguageModel(["a", "b"], rng.normal(size=(langid.BUCKETS + 1, 3)).astype(np.float32), np.zeros(2), 1.0, 0.0)
+    texts = ["Eine Straße über İstanbul. " * 9, "x", "", "?!"]
+    whole, has = model.logits(texts)
+    monkeypatch.setattr(langid, "PART_CHARS", 7)
+    parts, has_too = model.logits(texts)
+    assert np.allclose(whole, parts, rtol=1e-5) and list(has) == list(has_too) == [True, True, False, False]
+
+
 def auc(score, label):
     score, label = np.array(score), np.array(label)
     order = score.argsort(kind="stable")
@@ -65,6 +75,17 @@ def test_toxicity_of_awkward_rows(spark):
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), none)).count() == 0
 
 
+def test_grammar_weighs_intent_and_reports():
+    model = toxicity.ToxicityModel({"idiot": 2.0}, {}, toxicity.PRIOR)
+    model.features("kill")
+    run = lambda text: [x for x in model._machine.run([t if model._known(t) else "other" for t in text.split()]) if x[0] != "other"]
+    assert run("kill") == [("threat", 1.0)]
+    assert ("threat", toxicity.INTENDED) in run("i will surely kill")
+    assert run("you idiot")[1] == ("aimed insult", 2.0 * toxicity.AIMED)
+    assert run("not an idiot")[1] == ("negated insult", 2.0 * toxicity.NEGATED)
+    assert run("he said idiot")[-1] == ("reported insult", 2.0 * toxicity.REPORTED)
+
+
 @pytest.mark.parametrize(
     "low, high",
     [

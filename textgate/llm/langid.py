@@ -12,7 +12,8 @@ classified rightly.
 
 Nulls: a text that is null or has no letter is `und` with score 0 and is rejected. Rows with null lang or null doc_id
 are never learned from. Where no language can be learned (an empty table, no labels), texts are `und` with score 0, and
-only those without a letter are rejected. Repeated rows are each predicted. Other columns are ignored.
+only those without a letter are rejected. Very long texts are read whole, in parts of PART_CHARS characters. Ties go to the
+first language by name. Repeated rows are each predicted. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,8 +53,17 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each subword (-1: no letter in it), where each text's subwords begin, whether the text has a letter."""
     texts = [t.lower() for t in texts]
     starts = np.cumsum([0, *(len(t) + 2 for t in texts)])[:-1]
-    points = np.frombuffer("".join("\n\n" + t for t in texts).encode("utf-32-le", "surrogatepass") + bytes(8), np.uint32)
-    c = _codes()[points]
+    c = _of_letters("".join("\n\n" + t for t in texts) + "\n\n")
+    has = np.add.reduceat(c[:-2] != 0, starts) > 0 if len(texts) else np.zeros(0, bool)
+    return _hashed(c), starts, has
+
+
+def _of_letters(text: str) -> np.ndarray:
+    return _codes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+def _hashed(c: np.ndarray) -> np.ndarray:
+    """The buckets of the two subwords that begin at each place but the last two."""
     a, b, d = c[:-2], c[1:-1], c[2:]
     two = a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)
     three = (two ^ (two >> np.uint32(15))) * np.uint32(0xC2B2AE3D) + d * np.uint32(0x27D4EB2F)
@@ -61,8 +71,7 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shift = np.uint32(32 - BUCKETS.bit_length() + 1)
     out[:, 0] = np.where((a | b) != 0, (two * np.uint32(0x9E3779B1)) >> shift, -1)
     out[:, 1] = np.where((a | b | d) != 0, (three ^ np.uint32(0x165667B1)) * np.uint32(0x9E3779B1) >> shift, -1)
-    has = np.add.reduceat(c[:-2] != 0, starts) > 0 if len(texts) else np.zeros(0, bool)
-    return out, starts, has
+    return out
 
 
 @dataclass
@@ -74,10 +83,24 @@ class LanguageModel:
     reject_below: float
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        grams, starts, has = subwords(texts)
-        sums = np.add.reduceat(self.table[grams[:, 0]] + self.table[grams[:, 1]], starts, dtype=np.float64)
+        if any(len(t) > PART_CHARS for t in texts):
+            sums, has = map(np.array, zip(*map(self._sum_in_parts, texts), strict=True))
+        else:
+            grams, starts, has = subwords(texts)
+            sums = np.add.reduceat(self.table[grams[:, 0]] + self.table[grams[:, 1]], starts, dtype=np.float64)
         return sums[:, :-1] / np.maximum(sums[:, -1:], 1) + self.bias, has
 
+    def _sum_in_parts(self, text: str) -> tuple[np.ndarray, bool]:
+        """The same sum, with memory for PART_CHARS characters at a time."""
+        padded = f"\n\n{text.lower()}\n\n"
+        total, has = np.zeros(self.table.shape[1]), False
+        for at in range(0, len(padded) - 2, PART_CHARS):
+            c = _of_letters(padded[at : at + PART_CHARS + 2])
+            grams = _hashed(c)
+            total += (self.table[grams[:, 0]] + self.table[grams[:, 1]]).sum(0, dtype=np.float64)
+            has = has or bool((c != 0).any())
+        return total, has
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, calibrated probability, rejected."""
         texts = ["" if t is None else t for t in texts]
@@ -163,7 +186,8 @@ def train(docs: DataFrame) -> LanguageModel:
     at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS)).cast("int")
     taken = (
         rows.filter(draw < F.element_at(share, F.col("lang")) * (1 << 20))
-        .select(F.substr("text", at + 1, F.lit(TRAIN_CHARS)).alias("text"), "lang")
+        .select(F.substr("text", at + 1, F.lit(TRAIN_CHARS)).alias("text"), "lang", draw.alias("draw"), "doc_id")
+        .orderBy("draw", "doc_id", "text")
         .limit(2 * TRAIN_ROWS)
         .toPandas()
     )

@@ -246,7 +246,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"key": [copy_key(t) for t in b["text"]], "toxic": b["toxic"], "text": b["text"]})
+            texts = b["text"].tolist()
+            yield pd.DataFrame({"key": [copy_key(t) for t in texts], "toxic": b["toxic"], "text": texts})
 
     once = rows.mapInPandas(keyed, "key string, toxic int, text string").groupBy("key", "toxic").agg(F.min("text").alias("text"))
     return stored(once.select("toxic", "text"), "toxicity-sample")

@@ -46,6 +46,7 @@ def test_repeated_rows_long_pages_and_an_empty_table(spark):
     got = extracted(spark, [("http://h.com/x", long), ("http://h.com/x", long)])
     assert got[0].text == got[1].text == " ".join(f"Paragraph {i} of many." for i in range(20_000))
     assert html_text.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert [r.text for r in extracted(spark, [(None, None), ("http://h.com", "<nav></nav>")]).values()] == ["", ""]
 
 
 def test_joined_beyond_the_broadcast_limits(spark, monkeypatch):

@@ -270,8 +270,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
             out = []
             for host, page in zip(b["host"], b["html"], strict=True):
                 out += [(host, path, style, list(above), label) for path, style, above, label in _nodes(page)]
-            frame = pd.DataFrame(out, columns=["host", "path", "style", "above", "label"])
-            yield frame.astype({"label": "Int32"})
+            if out:
+                frame = pd.DataFrame(out, columns=["host", "path", "style", "above", "label"])
+                yield frame.astype({"label": "Int32"})
 
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages"))
     counts = (

@@ -263,7 +263,8 @@ def _counted(sample: DataFrame, toxic: int, among: set[str] | None) -> DataFrame
                 words, beginnings = features_of(text)
                 found = [f"w{w}" for w in words] + [f"p{p}" for p in beginnings]
                 total.update(found if shipped.value is None else shipped.value.intersection(found))
-            yield pd.DataFrame({"feature": list(total.keys()), "n": list(total.values())})
+            if total:
+                yield pd.DataFrame({"feature": list(total.keys()), "n": list(total.values())})
 
     counts = sample.filter(F.col("toxic") == toxic).mapInPandas(count, "feature string, n long")
     return counts.groupBy("feature").agg(F.sum("n").alias("n"))

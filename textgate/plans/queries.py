@@ -164,7 +164,11 @@ def promotion_fixpoint(spark, sf_dir):
 
 
 HINTS = ["Legal", "content-copy", "no such class", " build "]
-PARSED = ["file", "line_no", "source", "session_id", "prompt", "response", F.coalesce("content_class_hint", F.lit("none")).alias("content_class_hint"), F.array_join("labels", ",").alias("labels")]
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    hint = F.coalesce("content_class_hint", F.lit("none")).alias("content_class_hint")
+    return parse_jsonl(lines).select("file", "line_no", "source", "session_id", "prompt", "response", hint, F.array_join("labels", ",").alias("labels"))
 
 
 def _lines(rows: DataFrame, file, record, others: list) -> DataFrame:
@@ -193,7 +197,7 @@ def jsonl_message_parse(spark, sf_dir):
     )
     others = [F.lit('{"type": "user", "message": {"content": [{"type": "tool_result", "content": "x"}]}}'), F.lit('{"type": "progress", "message": {}}'), F.lit("")]
     lines = _lines(conversations(spark, sf_dir), F.concat(F.lit("f"), "conv_id"), F.to_json(record), others)
-    return parse_jsonl(lines).select(*PARSED)
+    return _parsed(lines)
 
 
 def jsonl_responses_parse(spark, sf_dir):
@@ -205,7 +209,7 @@ def jsonl_responses_parse(spark, sf_dir):
     meta = F.to_json(F.struct(F.lit("session_meta").alias("type"), F.when(F.col("conv_id") % 2 == 0, F.struct(F.concat(F.lit("m"), "conv_id").alias("id"))).alias("payload")))
     others = [meta, F.lit('{"type": "event_msg", "payload": {}}')]
     lines = _lines(conversations(spark, sf_dir), F.concat(F.lit("dir/run-019"), "conv_id", F.lit(".jsonl")), record, others)
-    return parse_jsonl(lines).select(*PARSED)
+    return _parsed(lines)
 
 
 def markdown_parse(spark, sf_dir):

@@ -5,10 +5,11 @@ of a benchmark item; an item of fewer words, but not none, is one window.
 
 1. The terms of the benchmark are counted over all training words (map-side sums; one row for each term).
 2. Each window's terms are ordered from the rarest on; windows with a term that no training word has can't occur.
-3. The index stores a posting (document, position) for each training word that is among the DEPTH rarest terms of a window.
+3. The index stores for each training document its postings, (position, term) in order, of the words that are among the
+   DEPTH rarest terms of a window.
 4. A window's occurrences are looked for from its rarest term on: each posting of that gives a place where the window would
-   begin. That list is intersected with the postings of the next rarer terms, adjusted by their offset in the window. With
-   slop > 0 a term may lie that many places off: a proximity match.
+   begin. It stays if the next rarer terms have postings at their offsets from there, which are among the document's
+   neighbouring postings, so nothing is shuffled. With slop > 0 a term may lie that many places off: a proximity match.
 5. The few places that are left are compared word by word, which settles the frequent terms: their postings would be as
    large as the texts. The matches of a document are merged: its words inside any match are hit.
 
@@ -90,20 +91,33 @@ def indexed_windows(docs: DataFrame, windows_of: DataFrame) -> DataFrame:
 
 
 def postings(read: DataFrame, index: DataFrame) -> DataFrame:
-    """doc_id, row, n_words, pos, term: a posting for each word that is among the DEPTH rarest terms of a window, and a row of
-    position -1 for each document; stored."""
+    """doc_id, row, n_words, posts array<struct<pos, term>>: each document's words that are among the DEPTH rarest terms of a
+    window (all words, if these terms are too many for literals); stored."""
     terms = index.select(F.explode(F.slice("terms", 1, DEPTH)).alias("t")).select(F.col("t.term").alias("term")).distinct()
     known = [r["term"] for r in terms.limit(MAX_LITERAL + 1).collect()]
     places = "sequence(0, greatest(size(words) - 1, 0))"
-    if few := len(known) <= MAX_LITERAL:
+    if len(known) <= MAX_LITERAL:
         places = f"filter({places}, i -> {_among('get(words, i)', known)})"
     place = lambda i: F.struct(i.alias("pos"), F.get("words", i).alias("term"))
-    document = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("string").alias("term")))
-    found = F.coalesce(F.transform(F.expr(places), place), F.array().cast("array<struct<pos:int,term:string>>"))
-    rows = read.select("doc_id", "row", n_words(F.col("words")).alias("n_words"), F.explode(F.concat(document, found)).alias("p")).select("doc_id", "row", "n_words", "p.*")
-    if not few:
-        rows = rows.filter("pos < 0").unionByName(rows.filter("pos >= 0").join(terms, "term", "left_semi"))
-    return stored(rows, "benchmark-postings")
+    posts = F.coalesce(F.transform(F.expr(places), place), F.array().cast("array<struct<pos:int,term:string>>"))
+    return stored(read.select("doc_id", "row", n_words(F.col("words")).alias("n_words"), posts.alias("posts")), "benchmark-postings")
+
+
+def begins_of(lists: DataFrame, index: DataFrame, n_windows: int, length: int, slop: int) -> DataFrame:
+    """row, w, start: where the DEPTH rarest terms of a window are at their offsets; stored."""
+    around = length - 1 + slop
+    anchors = [r["anchor"] for r in index.select("anchor").distinct().limit(MAX_LITERAL + 1).collect()]
+    numbered = "transform(posts, (p, i) -> named_struct('pos', p.pos, 'term', p.term, 'i', i))"
+    if len(anchors) <= MAX_LITERAL:
+        numbered = f"filter({numbered}, p -> {_among('p.term', anchors)})"
+    # Positions in a list differ, so what is at most `around` places off is at most as many entries off.
+    near = F.slice("posts", F.greatest(F.col("p.i") + 1 - around, F.lit(1)), F.lit(2 * around + 1))
+    posted = lists.select("row", "posts", F.explode(F.expr(numbered)).alias("p")).select("row", F.col("p.term").alias("term"), F.col("p.pos").alias("pos"), near.alias("near"))
+    anchored = index.select("w", F.col("anchor").alias("term"), "anchor_at", F.slice("terms", 2, DEPTH - 1).alias("others"))
+    joined = posted.join(F.broadcast(anchored) if n_windows <= MAX_BROADCAST else anchored, "term").withColumn("start", F.col("pos") - F.col("anchor_at"))
+    there = lambda o: F.exists("near", lambda q: (q["term"] == o["term"]) & (F.abs(q["pos"] - F.col("start") - o["at"]) <= slop))
+    whole = F.lit(True) if slop else F.col("start") >= 0
+    return stored(joined.filter(whole & F.forall("others", there)).select("row", "w", "start").distinct(), "benchmark-begins")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: int = 0) -> DataFrame:
@@ -114,20 +128,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: i
     index = stored(indexed_windows(read, windows(benchmark, length)), "benchmark-windows")
     some = lambda t, n, most: F.broadcast(t) if n <= most else t
     lists = postings(read, index)
-    each = lists.filter("pos >= 0").select("row", "term", "pos")
-    anchored = index.select("w", F.col("anchor").alias("term"), "anchor_at", F.slice("terms", 2, DEPTH - 1).alias("others"))
-    begins = each.join(some(anchored, index.count(), MAX_BROADCAST), "term").select("row", "w", (F.col("pos") - F.col("anchor_at")).alias("start"), "others")
-    begins = begins.filter("start >= 0") if not slop else begins
-    for k in range(DEPTH - 1):
-        other = F.get("others", F.lit(k))
-        places = F.transform(F.sequence(F.lit(-slop), F.lit(slop)), lambda d: F.col("start") + other["at"] + d)  # noqa: B023
-        needed = begins.select("row", "w", "start", "others", other["term"].alias("term"), F.explode(places).alias("pos") if slop else (F.col("start") + other["at"]).alias("pos"))
-        listed = each.select(F.col("row").alias("_row"), F.col("term").alias("_term"), F.col("pos").alias("_pos"))
-        meets = needed.join(listed, (F.col("row") == F.col("_row")) & (F.col("term") == F.col("_term")) & (F.col("pos") == F.col("_pos")), "left_semi")
-        # A window of fewer terms has no such other one.
-        whole = begins.filter(other["term"].isNull())
-        begins = stored(meets.select("row", "w", "start", "others").unionByName(whole.select("row", "w", "start", "others")), "benchmark-begins")
-    spans = begins.select("row", "w", "start").distinct().join(some(index.select("w", "item_id", "window", "terms"), index.count(), MAX_BROADCAST), "w")
+    n_windows = index.count()
+    begins = begins_of(lists, index, n_windows, length, slop)
+    spans = begins.join(some(index.select("w", "item_id", "window", "terms"), n_windows, MAX_BROADCAST), "w")
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "item_id", F.size("window").alias("length"), "terms")).alias("spans"))
     spans = stored(spans, "benchmark-spans")
     word = lambda s, t, off: F.get("words", s["start"] + t["at"] + off)
@@ -136,7 +139,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: i
     compared = read.join(some(spans, spans.count(), MAX_BROADCAST // 10), "row")
     hits = compared.select("doc_id", "row", n_words(F.col("words")).alias("n_words"), F.explode(F.filter("spans", fits)).alias("s"))
     none = lambda t: F.lit(None).cast(t)
-    every = lists.filter("pos < 0").select("doc_id", "row", "n_words", none("string").alias("item_id"), none("int").alias("start"), none("int").alias("length"))
+    every = lists.select("doc_id", "row", "n_words", none("string").alias("item_id"), none("int").alias("start"), none("int").alias("length"))
     return every.unionByName(hits.select("doc_id", "row", "n_words", "s.item_id", "s.start", "s.length"))
 
 

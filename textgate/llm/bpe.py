@@ -5,8 +5,9 @@ put into matrices of ids, a row each. In every round each row merges its leftmos
 from a hashed table, and the matrix is compacted, so that it loses one column a round; finished rows leave it. A word of
 over LONG bytes would need as many rounds, so it is merged with a heap instead, by the same rule.
 
-A worker keeps the ids of the words it has met in a dictionary, which is emptied at MAX_WORDS entries. The ranks are read
-on the driver and shipped, so executors need no vocabulary file.
+A worker keeps the ids of the words it has met in a dictionary, packed as bytes, and empties it when it takes about
+KNOWN_BYTES. Texts stay in their Arrow batch; PART_BYTES of them at a time become Python strings. The ranks are read on the
+driver and shipped, so executors need no vocabulary file.
 
 Nulls: a null text is an empty one; an empty text has no ids. Repeated rows and an empty table need no care; only
 doc_id and text are read.
@@ -22,7 +23,8 @@ from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from textgate.llm.common import give_back, table
 
 LONG = 512
-MAX_WORDS = 400_000
+KNOWN_BYTES = 64 << 20
+ENTRY_BYTES = 160  # of an entry, besides its characters and ids
+PART_BYTES = 1_000_000
 MATRIX_BYTES = 1 << 21
 NONE = np.int64(1) << 40
 
@@ -104,7 +108,8 @@ class ByteBpe:
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.decimals = {i: str(i) for i in self.bytes_of}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.known_bytes = 0
 
     def words(self, text: str) -> list[str]:
         try:
@@ -113,25 +118,27 @@ class ByteBpe:
             return self.split.findall(text)
         return self.split_latin1.findall(text)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, int32."""
+        if self.known_bytes > KNOWN_BYTES:
+            self.known, self.known_bytes = {}, 0
         split = [self.words(t) for t in texts]
-        new = set(chain.from_iterable(split)) - self.known.keys()
-        if len(self.known) + len(new) > MAX_WORDS:
-            self.known.clear()
-            new = set(chain.from_iterable(split))
-        new = list(new)
-        self.known |= zip(new, self.encode_words([w.encode("utf-8") for w in new]), strict=True)
-        return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
+        new = list(set(chain.from_iterable(split)) - self.known.keys())
+        ids = self.encode_words([w.encode("utf-8") for w in new])
+        self.known |= zip(new, ids, strict=True)
+        self.known_bytes += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, ids))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        out: list[tuple[int, ...]] = [()] * len(words)
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as the bytes of an int32 array."""
+        out = [b""] * len(words)
         buckets: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if w in self.ranks:
-                out[i] = (self.ranks[w],)
+                out[i] = np.int32(self.ranks[w]).tobytes()
             elif len(w) > LONG:
                 out[i] = self._with_heap(w)
             else:
@@ -144,20 +151,21 @@ class ByteBpe:
                     out[i] = ids
         return out
 
-    def _merged(self, words: list[bytes]) -> list[tuple[int, ...]]:
+    def _merged(self, words: list[bytes]) -> list[bytes]:
         lengths = np.array([len(w) for w in words])
         width = int(lengths.max())
         flat = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
         ids = np.where(np.arange(width) < lengths[:, None], self.of_byte[flat], -1)
         costs = self.pairs(ids[:, :-1], ids[:, 1:])
-        rows, out = np.arange(len(words)), [()] * len(words)
+        rows, out = np.arange(len(words)), [b""] * len(words)
         while rows.size:
             best = costs.argmin(1) if costs.shape[1] else np.zeros(len(rows), np.int64)
             merged = costs[np.arange(len(rows)), best] if costs.shape[1] else np.full(len(rows), NONE)
             done = merged == NONE
             if done.any():
-                for r, line, n in zip(rows[done].tolist(), ids[done].tolist(), lengths[done].tolist(), strict=True):
-                    out[r] = tuple(line[:n])
+                lines, step = ids[done].astype(np.int32).tobytes(), 4 * ids.shape[1]
+                for k, (r, n) in enumerate(zip(rows[done].tolist(), lengths[done].tolist(), strict=True)):
+                    out[r] = lines[k * step : k * step + 4 * n]
                 on = ~done
                 rows, ids, costs, lengths, best, merged = (x[on] for x in (rows, ids, costs, lengths, best, merged))
                 if not rows.size:
@@ -176,7 +184,7 @@ class ByteBpe:
             costs[at[after], best[after]] = self.pairs(merged[after], ids[at[after], best[after] + 1])
         return out
 
-    def _with_heap(self, word: bytes) -> tuple[int, ...]:
+    def _with_heap(self, word: bytes) -> bytes:
         parts: list[bytes | None] = [bytes([b]) for b in word]
         follows, precedes = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[int, int, bytes]] = []
@@ -200,40 +208,49 @@ class ByteBpe:
                 precedes[follows[i]] = i
             offer(precedes[i])
             offer(i)
-        return tuple(self.ranks[p] for p in parts if p is not None)
+        return np.array([self.ranks[p] for p in parts if p is not None], np.int32).tobytes()
 
 
 def _each(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, make: Callable[[ByteBpe, list[str]], dict], schema: str
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, make: Callable[[ByteBpe, list[str]], dict[str, pa.Array]], schema: str
 ) -> DataFrame:
-    """Encodes in batches of bounded text; make(codec, texts) gives the other columns."""
+    """Encodes in parts of bounded text; make(codec, texts) gives the other columns, as in schema."""
     shipped = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: a few MB, whatever the input
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
             codec = codec or ByteBpe(shipped.value, pattern)
-            texts = ["" if t is None else t for t in batch["text"]]
-            for part in _parts(texts):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part], **make(codec, texts[part])})
+            for part in _parts(batch.column(1)):
+                texts = ["" if t is None else t for t in batch.column(1)[part].to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[part], **make(codec, texts)})
+            del batch
             give_back()
+        codec = None
+        give_back()
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, {schema}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, {schema}")
 
 
-def _parts(texts: list[str], chars: int = 1_000_000) -> Iterator[slice]:
+def _parts(texts: pa.Array) -> Iterator[slice]:
     start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= chars or i + 1 == len(texts):
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= PART_BYTES or i + 1 == len(sizes):
             yield slice(start, i + 1)
             start, total = i + 1, 0
 
 
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """docs (doc_id, text) -> doc_id, ids array<int>."""
-    return _each(docs, ranks, pattern, lambda codec, texts: {"ids": codec.encode(texts)}, "ids array<int>")
+    return _each(docs, ranks, pattern, lambda codec, texts: {"ids": _lists(codec.encode(texts))}, "ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -241,26 +258,29 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     shipped = encoded.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
     id_type = encoded.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = shipped.value.__getitem__
-            out = [b"" if ids is None else b"".join(map(of, ids)) for ids in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "bytes": out})
+            out = [b"".join(map(of, ids.values.to_pylist())) if ids.is_valid else b"" for ids in batch.column(1)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "bytes": pa.array(out, pa.binary())})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {id_type}, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, bytes binary")
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: encodes each text, decodes its ids, keeps digests of both."""
 
-    def digests(codec: ByteBpe, texts: list[str]) -> dict:
-        encoded = codec.encode(texts)
-        decimals = codec.decimals.__getitem__
+    def digests(codec: ByteBpe, texts: list[str]) -> dict[str, pa.Array]:
+        encoded, of_ids, of_bytes = codec.encode(texts), [], []
+        for ids in encoded:
+            line = ids.tolist()
+            of_ids.append(hashlib.sha256(" ".join(map(codec.decimals.__getitem__, line)).encode()).hexdigest())
+            of_bytes.append(hashlib.sha256(codec.decode(line)).hexdigest())
         return {
-            "n_tokens": [len(ids) for ids in encoded],
-            "ids_sha256": [hashlib.sha256(" ".join(map(decimals, ids)).encode()).hexdigest() for ids in encoded],
-            "decoded_sha256": [hashlib.sha256(codec.decode(ids)).hexdigest() for ids in encoded],
-        } | ({"ids": encoded} if with_ids else {})
+            "n_tokens": pa.array([len(ids) for ids in encoded], pa.int64()),
+            "ids_sha256": pa.array(of_ids, pa.string()),
+            "decoded_sha256": pa.array(of_bytes, pa.string()),
+        } | ({"ids": _lists(encoded)} if with_ids else {})
 
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return _each(docs, ranks, pattern, digests, schema)

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def give_back() -> None:
-    """Hands freed memory back to the system: Python workers live on and would keep the peak of each stage they served."""
+    """Hands freed memory, Arrow's too, back to the system: Python workers live on and would keep the peak of each stage they served."""
+    pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

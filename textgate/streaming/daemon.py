@@ -6,8 +6,11 @@ micro-batch, written by Spark; a batch reads those of the last batch before it,
 failure, or after a restart, starts from the same state. Rules and configuration are read anew for each batch; promotions
 act from the next batch on. The checkpoint gives at-least-once.
 
-history: "all" keeps one history of responses over everything, as one sequential reader has it (one task sorts a batch's
-responses); "file" keeps one for each file and has no such task."""
+Scoring takes milliseconds a response, so it is dealt out to all tasks, and done once for each batch: what was parsed and
+what was scored are tables in the checkpoint folder while the batch lasts, since Spark doesn't find them again in its cache.
+
+history: "all" keeps one history of responses over everything, as one sequential reader has it; "file" keeps one for each
+file, and deals out a batch by file where the kept responses are too large to be broadcast."""
 
 from __future__ import annotations
 
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textgate.operators.corrections import any_due, candidates, fan_out
-from textgate.operators.exchanges import with_prior
+from textgate.operators.exchanges import with_prior_by_block
 from textgate.operators.score import RULES, log_record, score
 from textgate.sources.ledger import append_json, read_ledger, read_rules, write_rules
 from textgate.sources.tail import TailSource
@@ -28,6 +31,7 @@ from textgate.spec import Section, SpecError, expand_home, load_spec
 
 KEPT_STATE = f"{STATE}, generation long"
 RECENT = "file string, recent array<string>"
+WORK = "work"  # the folder of the tables that last as long as their batch
 
 
 class Daemon:
@@ -104,14 +108,23 @@ class Daemon:
 
     def _keep(self, name: str, rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.checkpoint}/{name}/batch-{batch_id}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
         for k, old in self._batches(name).items():
             if k < batch_id - 1:
-                path(old).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path(old), True)
+                self._delete(old)
+
+    def _delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def _written(self, name: str, rows: DataFrame, batch_id: int) -> DataFrame:
+        """rows as a table of this batch alone; process deletes it."""
+        where = f"{self.checkpoint}/{WORK}/batch-{batch_id}/{name}"
+        rows.write.mode("overwrite").parquet(where)
+        return self.spark.read.schema(rows.schema).parquet(where)
 
     def _with_history(self, found: DataFrame, recent: DataFrame, lookback: int) -> DataFrame:
         """Adds prior: the last responses, of this batch and of those before it."""
-        rows = with_prior(found, lookback, [] if self.history == "all" else ["file"], ["file", "line_no"])
+        rows = with_prior_by_block(found, lookback, "file", "line_no", across=self.history == "all")
         if self.history == "all":
             last = recent.first()  # one row of at most `lookback` responses
             ahead = F.array(*map(F.lit, last["recent"])) if last and last["recent"] else F.array().cast("array<string>")
@@ -120,14 +133,14 @@ class Daemon:
             rows = rows.join(recent, "file", "left").withColumn("recent", F.coalesce("recent", F.array().cast("array<string>")))
         return rows.withColumn("prior", _last(F.concat("recent", "prior"), lookback)).drop("recent")
 
-    def _recent(self, scored: DataFrame, recent: DataFrame, lookback: int) -> DataFrame:
+    def _recent(self, found: DataFrame, recent: DataFrame, lookback: int) -> DataFrame:
         """The last responses behind this batch."""
         after = F.max_by(F.concat("prior", F.array("response")), F.struct("file", "line_no"))
         if self.history == "all":
-            new = scored.agg(after.alias("recent")).filter("recent is not null").select(F.lit("").alias("file"), "recent")
+            new = found.agg(after.alias("recent")).filter("recent is not null").select(F.lit("").alias("file"), "recent")
             new = recent if new.isEmpty() else new
         else:
-            new = scored.groupBy("file").agg(after.alias("recent"))
+            new = found.groupBy("file").agg(after.alias("recent"))
             new = new.unionByName(recent.join(new, "file", "left_anti"))
         return new.select("file", _last(F.col("recent"), lookback).alias("recent"))
 
@@ -139,6 +152,7 @@ class Daemon:
                 self._process(batch, batch_id)
         finally:
             batch.unpersist()
+            self._delete(f"{self.checkpoint}/{WORK}/batch-{batch_id}")
 
     def _process(self, batch: DataFrame, batch_id: int) -> None:
         lookback = max(1, min(self.spec.repetition.lookback_turns, 20))
@@ -147,11 +161,12 @@ class Daemon:
         jsonl = batch.filter(~is_markdown)
         # A file that was truncated or replaced has a new generation, and begins without state.
         now = jsonl.groupBy("file").agg(F.max("generation").alias("generation"))
-        rows = walked(jsonl.select("file", "line_no", "line"), kept.join(now, ["file", "generation"]).drop("generation")).persist()
+        rows = self._written("parsed", walked(jsonl.select("file", "line_no", "line"), kept.join(now, ["file", "generation"]).drop("generation")), batch_id)
         markdown = parse_markdown(batch.filter(is_markdown).select("file", F.col("line").alias("text")))
         found = exchanges_of(rows).unionByName(markdown).withColumn("hour", F.hour(F.lit(self.now())))
         found = self._with_history(found, recent, lookback)
-        scored = score(found, self.spec, read_rules(self.spec.daemon.patterns_path)).persist()
+        scored = score(found, self.spec, read_rules(self.spec.daemon.patterns_path)).select("session_id", "source", "class", "response", "response_bytes", "issues", "score")
+        scored = self._written("scored", scored, batch_id)
         append_json(log_record(scored), self.spec.daemon.validation_log)
         ledger = fan_out(scored, self.spec, ["session_id", "source"])
         stamp = F.lit(self.now().isoformat()).alias("ts")
@@ -161,9 +176,7 @@ class Daemon:
             self.promote()
         state = state_of(rows).join(now, "file").unionByName(kept.join(now, "file", "left_anti"))
         self._keep("parser-state", state, batch_id)
-        self._keep("recent", self._recent(scored, recent, lookback), batch_id)
-        scored.unpersist()
-        rows.unpersist()
+        self._keep("recent", self._recent(found, recent, lookback), batch_id)
 
     def start(self, once: bool = False):
         self.promote()
